@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from folio.plans import question_queries, text_queries, tree_queries  # noqa: F401
+from folio.plans import bank_queries, question_queries, text_queries, tree_queries  # noqa: F401
 from folio.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
