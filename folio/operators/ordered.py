@@ -17,7 +17,7 @@ hold a large share of all rows, so every operator here works in two levels:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ def scan(
     *,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
+    maxes_before: Mapping[str, Column] | None = None,
     fills: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
@@ -40,12 +41,13 @@ def scan(
     """Add ordered columns over each group of `keys`.
 
     sums   running total up to and including the row
-    maxes  running maximum up to and including the row
+    maxes  running maximum up to and including the row (maxes_before: up to the row before)
     fills  last non-null value up to and including the row
     lags   value of the previous row, leads value of the next row (wrap the
            value in a struct to tell a missing row from a null value)
     """
-    sums, maxes, fills = dict(sums or {}), dict(maxes or {}), dict(fills or {})
+    sums, fills, before_maxes = dict(sums or {}), dict(fills or {}), dict(maxes_before or {})
+    maxes = dict(maxes or {}) | before_maxes
     lags, leads = dict(lags or {}), dict(leads or {})
     keys = list(keys)
     rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
@@ -78,7 +80,10 @@ def scan(
 
     out = [c for c in df.columns]
     extra = [(F.col(f"__s_{n}") + F.sum(e).over(upto)).alias(n) for n, e in sums.items()]
-    extra += [F.greatest(F.col(f"__m_{n}"), F.max(e).over(upto)).alias(n) for n, e in maxes.items()]
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    extra += [
+        F.greatest(F.col(f"__m_{n}"), F.max(e).over(earlier if n in before_maxes else upto)).alias(n) for n, e in maxes.items()
+    ]
     extra += [
         F.coalesce(F.last(e, ignorenulls=True).over(upto), F.col(f"__f_{n}")).alias(n) for n, e in fills.items()
     ]
@@ -101,6 +106,51 @@ def numbered(
     return scan(df, keys, bucket, order, sums={name: one})
 
 
+def runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    current: Sequence[str],
+    previous: Sequence[str],
+    breaks: Callable[[Column], Column],
+    name: str,
+) -> DataFrame:
+    """Number runs of consecutive rows: 1, 2, 3 ... within each group.
+
+    A row starts a run when no row stands before it or `breaks(row before)`
+    holds; `breaks` may read the row's own `current` columns and the `previous`
+    columns of the row before. Starts are counted inside each bucket; whether a
+    bucket's first row starts a run is settled on the bucket summaries.
+    """
+    keys = list(keys)
+    rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    starts = F.when(F.col("__prev").isNull(), F.lit(False)).otherwise(F.coalesce(breaks(F.col("__prev")), F.lit(False)))
+    local = (
+        df.withColumn(_BUCKET, bucket)
+        .withColumn("__prev", F.lag(F.struct(*previous)).over(inside))
+        .withColumn("__start", starts.cast("bigint"))
+        .withColumn("__run", F.sum("__start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("__prev", "__start")
+    )
+    over = Window.partitionBy(*keys).orderBy(_BUCKET)
+    seen = [c for c in current if c not in keys]
+    summary = (
+        local.groupBy(*keys, _BUCKET)
+        .agg(
+            F.min_by(F.struct(*seen), rank).alias("__first"), F.max_by(F.struct(*previous), rank).alias("__last"),
+            F.max("__run").alias("__n"),
+        )
+        .select(*keys, _BUCKET, "__first.*", "__n", F.lag("__last").over(over).alias("__prev"))
+    )
+    opens = (F.col("__prev").isNull() | F.coalesce(breaks(F.col("__prev")), F.lit(False))).cast("bigint")
+    flagged = summary.select(*keys, _BUCKET, "__n", opens.alias("__open"))
+    until = F.sum(F.col("__open") + F.col("__n")).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    offset = flagged.select(*keys, _BUCKET, (F.coalesce(until, F.lit(0)) + F.col("__open")).alias("__offset"))
+    return local.join(offset, [*keys, _BUCKET], "left").select(*df.columns, (F.col("__offset") + F.col("__run")).alias(name))
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
     """The first row of each group: an aggregate, so a hot group is combined before it is shuffled."""
     rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])

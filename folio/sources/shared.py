@@ -54,7 +54,9 @@ BOOK_SIZE = f"""CAST(CASE WHEN line_no = 1 THEN 9.0 WHEN page_no = 1 THEN 11.0
   WHEN {BOOK_MARK} = 5 THEN 12.0 ELSE 11.0 END AS DOUBLE)"""
 BOOK_BOLD = f"({BOOK_MARK} = 6 AND page_no > 1)"
 BOOK_X0 = f"CAST(CASE WHEN {BOOK_MARK} = 14 THEN 90.0 ELSE 72.0 END AS DOUBLE)"
-BOOK_Y0 = f"CAST(40.0 + 19.0 * (line_no - 1) + 18.0 * {div('line_no - 1', 8)} AS DOUBLE)"
+BOOK_Y0 = (
+    f"CAST(40.0 + 19.0 * (line_no - 1) + 18.0 * {div('line_no - 1', 8)} + CASE WHEN line_no > 1 THEN 16.0 ELSE 0.0 END AS DOUBLE)"
+)
 BOOK_HEIGHT = "CAST(greatest(842.0, 400.0 + 22.0 * max(line_no)) AS DOUBLE)"
 
 STEM = "concat('What is the square of ', p_size, ' for the ', p_name, '?')"
