@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions.numbers import strip_space
-from folio.functions.text import WORD_END, WORD_START, clean_heading
+from folio.functions.text import WORD_END, WORD_START, clean_heading  # noqa: F401
 
 # Words that are never a unit number.
 NOT_A_NUMBER = (
