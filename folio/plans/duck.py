@@ -37,9 +37,9 @@ v_spans AS (SELECT book_id, page_no, line_no, i + 1 AS span_no, word AS text,
   CASE WHEN i % 5 IN (3, 4) THEN size * 0.5::DOUBLE ELSE size END AS size,
   CASE WHEN bold THEN 'Serif-Bold' WHEN i % 7 = 2 THEN 'Serif-Italic' ELSE 'Serif' END AS font,
   CAST(CASE WHEN i % 11 = 5 THEN 16 WHEN i % 11 = 6 THEN 2 ELSE 0 END AS BIGINT) AS flags,
-  x0 + 5.5::DOUBLE * length(array_to_string(ws[1:i], ' ')) + (CASE WHEN i > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) AS x0,
+  x0 + 5.5::DOUBLE * length(array_to_string(ws[1:i], '')) + (CASE WHEN i > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) AS x0,
   y0,
-  x0 + 5.5::DOUBLE * length(array_to_string(ws[1:i], ' ')) + (CASE WHEN i > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END)
+  x0 + 5.5::DOUBLE * length(array_to_string(ws[1:i], '')) + (CASE WHEN i > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END)
     + 5.5::DOUBLE * length(word) AS x1, y1,
   CASE WHEN i % 5 = 3 THEN y1 - 0.5::DOUBLE * size WHEN i % 5 = 4 THEN y1 + 0.25::DOUBLE * size ELSE y1 END AS origin_y
   FROM w1 WHERE length(word) > 0)"""

@@ -74,7 +74,7 @@ ITEM_ORDER = "CAST(CASE WHEN l_suppkey % 29 = 0 THEN l_linenumber - 1 ELSE l_lin
 
 VERSION_TITLE = """concat(CASE doc_id % 4 WHEN 0 THEN 'Mathematics ' WHEN 1 THEN 'English Grammar '
   WHEN 2 THEN 'English for Today ' ELSE 'Science ' END, 'Class ', doc_id % 13)"""
-VERSION_FILE = """concat('book_', doc_id, CASE doc_id % 5 WHEN 0 THEN '_class-5_2022' ELSE '' END, '.pdf')"""
+VERSION_FILE = """concat('book-', doc_id, CASE doc_id % 5 WHEN 0 THEN ' class-5 2022' WHEN 1 THEN '_Grade 3' ELSE '' END, '.pdf')"""
 FRONT_TEXT = """concat(CASE doc_id % 6 WHEN 0 THEN 'Class IX-X ' WHEN 1 THEN 'Grade: seven ' WHEN 2 THEN 'For Class 8 '
   WHEN 3 THEN 'Class Notes ' ELSE '' END, CASE doc_id % 7 WHEN 0 THEN 'Revised Edition 2023 '
   WHEN 1 THEN 'Academic Year: 2024 ' WHEN 2 THEN 'Reprint 1950 ' WHEN 3 THEN 'published in 2019 '

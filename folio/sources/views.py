@@ -74,7 +74,7 @@ def book_spans(spark: SparkSession, sf: str) -> DataFrame:
     words = book_lines(spark, sf).select(
         "*", F.split("text", " ", -1).alias("ws")
     ).select("*", F.posexplode("ws").alias("i", "word"))
-    left = "x0 + 5.5D * length(array_join(slice(ws, 1, i), ' ')) + (CASE WHEN i > 0 THEN 2.0D ELSE 0.0D END)"
+    left = "x0 + 5.5D * length(array_join(slice(ws, 1, i), '')) + (CASE WHEN i > 0 THEN 2.0D ELSE 0.0D END)"
     return words.filter(F.length("word") > 0).selectExpr(
         "book_id", "page_no", "line_no", "CAST(i + 1 AS BIGINT) AS span_no", "word AS text",
         "CASE WHEN i % 5 IN (3, 4) THEN size * 0.5D ELSE size END AS size",
