@@ -87,21 +87,23 @@ def cluster_lines(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Words to lines.
 
     A word joins the first line whose running mean centre is near enough, so
-    the result depends on order. A line can only be reached while its words are
-    within the largest tolerance seen so far of the next word's centre;
-    wherever the gap is larger the page is cut. A band is a stack of overlapping
-    lines, not a page; bands are spread by hash and stream through each task in
-    order, so a task holds one band at a time.
+    the result depends on order. No tolerance on a page exceeds the one its
+    tallest word allows; where the centres leave a wider gap, nothing above can
+    meet anything below, and the page is cut into bands that are clustered on
+    their own. Gaps are found on the occupied two-point cells of the page, a
+    small aggregate of the words. Bands are spread by hash and stream through
+    each task in order, so a task holds one band at a time.
     """
     keys = keys or PAGE
-    height = F.col("y1") - F.col("y0")
-    centre = (F.col("y0") + F.col("y1")) / 2
-    marked = words.withColumn("__c", centre).withColumn("__h", height)
-    order = [F.col("y0"), F.col("x0"), F.col("text")]
-    bucket = F.floor(F.col("y0") / 256)
-    seen = scan(marked, keys, bucket, order, maxes_before={"__top": F.col("__c"), "__tall": F.col("__h")})
-    apart = F.col("__top").isNull() | (F.col("__c") - F.col("__top") > F.greatest(F.lit(4.0), 0.45 * F.col("__tall")))
-    banded = scan(seen, keys, bucket, order, sums={"__band": apart.cast("bigint")})
+    cell = 2.0
+    placed = words.withColumn("cell", F.floor((F.col("y0") + F.col("y1")) / 2 / cell))
+    cells = placed.groupBy(*keys, "cell").agg(F.max(F.col("y1") - F.col("y0")).alias("tall"))
+    reach = cells.groupBy(*keys).agg(F.greatest(F.lit(4.0), 0.45 * F.max("tall")).alias("reach"))
+    bands = runs(
+        cells.select(*keys, "cell").join(reach, keys), keys, F.floor(F.col("cell") / 1024), [F.col("cell")], ["cell", "reach"],
+        ["cell"], lambda p: (F.col("cell") - p["cell"] - 1) * cell >= F.col("reach"), "__band",
+    )
+    banded = placed.join(bands.select(*keys, "cell", "__band"), [*keys, "cell"])
     rows = banded.select(*keys, F.col("__band").alias("band"), "text", "x0", "y0", "x1", "y1")
     spread = rows.repartition(*keys, "band").sortWithinPartitions(*keys, "band", "y0", "x0", "text")
     ids = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keys)

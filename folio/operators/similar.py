@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import stem_key
 from folio.operators.ordered import numbered
-from folio.runtime import cut
+from folio.runtime import cut, fan_out
 
 # Words that say nothing about what a question asks.
 STOP_WORDS = (
@@ -53,10 +53,9 @@ def _grams(key: Column, q: int) -> Column:
     """Character q-grams, each with how often it occurred before, so that repeats count."""
     n = F.length(key)
     places = F.when(n >= q, F.sequence(F.lit(1), n - (q - 1))).otherwise(F.array().cast("array<int>"))
-    raw = F.transform(places, lambda i: F.substring(key, i, F.lit(q)))
+    grams = F.array_sort(F.transform(places, lambda i: F.substring(key, i, F.lit(q))))
     return F.transform(
-        raw,
-        lambda g, i: F.concat(F.lit(f"{q}:"), g, F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")),
+        grams, lambda g, i: F.concat(F.lit(f"{q}:"), g, (i - F.array_position(grams, g)).cast("string"))
     )
 
 
@@ -168,7 +167,7 @@ def matches(
     la, lb = F.length("later_key"), F.length("early_key")
     near_length = 2 * F.least(la, lb) >= RATIO * (la + lb) - 1e-9
     rest = pairs.filter(~F.col("by_words") & near_length)
-    by_ratio = rest.filter(ratio_reached("later_key", "early_key")).select(*keys, "later_seq", "early_seq")
+    by_ratio = fan_out(rest, "later_seq", "early_seq").filter(ratio_reached("later_key", "early_key")).select(*keys, "later_seq", "early_seq")
     return by_words.union(by_ratio)
 
 
@@ -182,7 +181,7 @@ def first_match(candidates: DataFrame, seen: DataFrame, keys: list[str], with_ra
     """C18 against a set already seen: the first seen stem each candidate repeats or nearly repeats."""
     cand, old = distinct_stems(candidates, keys), distinct_stems(seen, keys)
     tagged = cand.select("*", F.lit(0).alias("side")).union(old.select("*", F.lit(1).alias("side")))
-    both = cut(describe(tagged.withColumn("seq", F.struct("side", "seq")), keys, with_ratio), "stems")
+    both = cut(describe(fan_out(tagged.withColumn("seq", F.struct("side", "seq")), "seq"), keys, with_ratio), "stems")
     near = matches(both.filter("seq.side = 0"), both.filter("seq.side = 1"), keys, False, with_ratio)
     exact = cand.join(old.withColumnRenamed("seq", "early"), [*keys, "stem_key"]).select(
         *keys, F.col("seq").alias("later"), "early"
@@ -193,7 +192,7 @@ def first_match(candidates: DataFrame, seen: DataFrame, keys: list[str], with_ra
 
 def greedy_filter(
     candidates: DataFrame, keys: list[str] | None = None, with_ratio: bool = True, pairs_per_row: int = 200,
-    smallest: int = 1000,
+    smallest: int = 4096,
 ) -> DataFrame:
     """In order, keep a candidate unless it repeats one that was kept.
 
@@ -208,7 +207,7 @@ def greedy_filter(
     keys = list(keys or [])
     firsts = distinct_stems(candidates, keys)
     placed = numbered(firsts, [], F.floor(F.col("seq") / 65536), [F.col("seq"), *[F.col(k) for k in keys]], "place")
-    stems = cut(describe(placed, keys, with_ratio), "stems")
+    stems = cut(describe(fan_out(placed, "seq"), keys, with_ratio), "stems")
     total = stems.count()
     ranges: list[tuple[int, int]] = []
     low, width = 1, max(smallest, 1)
@@ -248,15 +247,16 @@ def _independent(live: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
         blocked = edges.select(*keys, F.col("later_seq").alias("seq")).distinct()
         free = cut(open_ids.join(blocked, ids, "left_anti"), "free")
         accepted = free if accepted is None else accepted.union(free)
-        if edges.isEmpty():
-            break
         free_early = free.withColumnRenamed("seq", "early_seq")
-        dropped = edges.join(free_early, [*keys, "early_seq"], "left_semi").select(*keys, F.col("later_seq").alias("seq")).distinct()
-        gone = cut(free.union(dropped), "gone")
-        open_ids = cut(open_ids.join(gone, ids, "left_anti"), "open")
+        hit = edges.join(free_early, [*keys, "early_seq"], "left_semi").select(*keys, F.col("later_seq").alias("seq")).distinct()
+        dropped = cut(hit, "dropped")
+        if dropped.isEmpty():
+            break
+        open_ids = cut(open_ids.join(free.union(dropped), ids, "left_anti"), "open")
+        left = open_ids.select(*ids)
         edges = cut(
-            edges.join(gone.withColumnRenamed("seq", "later_seq"), [*keys, "later_seq"], "left_anti")
-            .join(gone.withColumnRenamed("seq", "early_seq"), [*keys, "early_seq"], "left_anti"),
+            edges.join(left.withColumnRenamed("seq", "later_seq"), [*keys, "later_seq"], "left_semi")
+            .join(left.withColumnRenamed("seq", "early_seq"), [*keys, "early_seq"], "left_semi"),
             "edges",
         )
     return live.join(accepted, ids, "left_semi")

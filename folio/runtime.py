@@ -15,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input that arrives in fewer pieces than there are cores.
+
+    One large Parquet row group is one task, however much work follows it. On a
+    library of many files this adds nothing to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fan_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle to the full number of tasks, for little data with much work per row.
+
+    Adaptive execution would merge such partitions by their size; a stated
+    number is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster.
 

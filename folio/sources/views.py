@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.ordered import numbered
-from folio.runtime import table
+from folio.runtime import spread, table
 from folio.sources import shared as S
 
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Non-empty trimmed lines of every document with their 1-based place in the raw text."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     raw = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("p", "l"))
     return raw.select(
         "doc_id", "lang", "source", (F.col("p") + 1).cast("bigint").alias("line_no"), F.trim("l").alias("text")
@@ -183,7 +183,8 @@ def paper_items(spark: SparkSession, sf: str) -> DataFrame:
     oid = "concat('o_', l_partkey, '_', (l_linenumber + {k}) % 4 + 1)"
     first = f"CASE WHEN l_suppkey % 37 = 0 THEN 'o_x' WHEN l_suppkey % 41 = 0 THEN {oid.format(k=1)} ELSE {oid.format(k=0)} END"
     four = f"array({first}, {oid.format(k=1)}, {oid.format(k=2)}, {oid.format(k=3)})"
-    return table(spark, sf, "lineitem").selectExpr(
+    items = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    return items.selectExpr(
         "l_orderkey AS set_id", "l_partkey AS question_id", f"{S.ITEM_ORDER} AS question_order", "l_suppkey",
         f"CASE WHEN l_suppkey % 50 = 0 THEN slice({four}, 1, 3) ELSE {four} END AS option_order",
     )
