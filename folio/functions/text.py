@@ -77,7 +77,7 @@ def is_good_native_text(text: Column, n_words: Column) -> Column:
     """B1: enough characters, enough words, mostly letters."""
     t = strip_space(F.coalesce(text, F.lit("")))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    return (F.length(t) >= 40) & (n_words >= 8) & (letters.cast("double") / F.length(t) >= 0.5)
+    return (F.length(t) >= 40) & (n_words >= 8) & (2 * letters >= F.length(t))
 
 
 def is_stem_complete(c: Column) -> Column:

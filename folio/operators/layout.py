@@ -72,7 +72,7 @@ def route_pages(pages: DataFrame, words: DataFrame, ocr_words: DataFrame) -> Dat
     full = pages.join(native, PAGE, "left").join(ocr, PAGE, "left")
     chars = F.coalesce(F.col("n_chars") - 1, F.lit(0))
     n_words = F.coalesce("n_words", F.lit(0))
-    good = (chars >= 40) & (n_words >= 8) & (F.col("n_letters").cast("double") / chars >= 0.5)
+    good = (chars >= 40) & (n_words >= 8) & (2 * F.col("n_letters") >= chars)
     plain = (F.col("n_images") == 0) & (F.col("n_drawings") == 0) & (n_words > 0)
     route = (
         F.when(good, "native").when(plain, "native_short").when(F.col("n_ocr") > 0, "ocr").otherwise("best_effort")

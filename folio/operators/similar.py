@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import stem_key
 from folio.operators.ordered import numbered
@@ -130,7 +131,7 @@ def pair_budget(described: DataFrame, keys: list[str]) -> DataFrame:
     return later.join(early, [*keys, "e", "dk"]).agg(F.sum(F.col("a") * F.col("b")).alias("pairs"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def ratio_reached(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether the standard matcher finds the texts alike; later text first, as its result depends on order."""
     for later, early in parts:
@@ -157,7 +158,7 @@ def matches(
         joined = joined.filter(F.col("early_seq") < F.col("later_seq"))
     once = F.array_min(F.array_intersect("later_look", "early_look")) == F.col("e")
     common = F.size(F.array_intersect("later_words", "early_words"))
-    overlap = common.cast("double") / (F.size("later_words") + F.size("early_words") - common)
+    overlap = F.try_divide(common.cast("double"), (F.size("later_words") + F.size("early_words") - common).cast("double"))
     pairs = joined.filter(once).select(
         *keys, "later_seq", "early_seq", "later_key", "early_key", F.coalesce(overlap >= JACCARD, F.lit(False)).alias("by_words")
     )

@@ -9,17 +9,21 @@ MAX_BYTES = 100 * 1024 * 1024
 MAGIC = b"%PDF-"
 
 
-def asset_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def asset_manifest(spark: SparkSession, path: str, uploads: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A1: checksum, size, header check and error code of every file under `path`.
 
     Sizes come from the listing alone; only files of an admissible size are
-    opened, since a file is one row and has to fit in a task.
+    opened, since a file is one row and has to fit in a task. Spark's file scan
+    passes over empty files, so they are known from `uploads` (their paths): an
+    upload the scan does not return holds nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listed = files.select("path", F.col("length").alias("n_bytes"))
     opened = files.filter(F.col("length").between(1, max_bytes)).select(
         "path", F.sha2("content", 256).alias("checksum"), (F.substring("content", 1, len(MAGIC)) == F.lit(MAGIC)).alias("header_ok")
     )
+    if uploads is not None:
+        listed = uploads.select("path").distinct().join(listed, "path", "full").withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0)))
     error = (
         F.when(F.col("n_bytes") == 0, "INVALID_PDF").when(F.col("n_bytes") > max_bytes, "FILE_TOO_LARGE")
         .when(~F.col("header_ok"), "INVALID_PDF")
