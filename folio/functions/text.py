@@ -202,7 +202,17 @@ READINESS_TEXT = {
 }
 
 
-def reason_texts(codes: Column) -> Column:
+# What the capabilities answer says instead, where it differs.
+CAPABILITY_TEXT = READINESS_TEXT | {
+    "INGESTION_INCOMPLETE": "Textbook ingestion is still processing or incomplete.",
+    "GRADE_NOT_ASSIGNED": "Class / Grade has not been assigned to this textbook.",
+    "SUBJECT_NOT_RESOLVED": "Academic Subject has not been resolved. Please edit metadata.",
+    "SUBJECT_NOT_SUPPORTED": "MCQ assessment generation is not currently supported for this subject.",
+    "STRUCTURE_NEEDS_REFRESH": "Curriculum structure needs to be refreshed.",
+}
+
+
+def reason_texts(codes: Column, texts: dict[str, str] | None = None) -> Column:
     """Codes to sentences; an unknown code stands for itself."""
-    table = F.create_map(*[F.lit(x) for kv in READINESS_TEXT.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in (texts or READINESS_TEXT).items() for x in kv])
     return F.transform(codes, lambda r: F.coalesce(F.try_element_at(table, r), r))

@@ -146,6 +146,11 @@ def trim_to_budget(
     )
 
 
+def within_budget(prompt_tokens: Column, verification: bool = False, generate: int = 2800, verify: int = 4000) -> Column:
+    """E11 as a test: whether an estimated prompt fits its target."""
+    return prompt_tokens <= (verify if verification else generate)
+
+
 def allocate(rank: Column, windows: Column, requested: Column) -> Column:
     """Questions for the window of that rank (1-based)."""
     base, rest = F.floor(requested / windows), requested % windows
@@ -164,8 +169,9 @@ def coverage_plan(lines: DataFrame, requested: Column) -> DataFrame:
     """Flagship: windows of every document with their size, token estimate and question quota.
 
     Lines are numbered with one shuffle on (document, page range); windows then
-    have at most twelve lines each, and quotas need one small count per
-    document.
+    have at most twelve lines each. Every batch keeps its first chunk through
+    packing and trimming, so the number of windows of a document follows from
+    its number of lines and needs no second run of the plan.
     """
     chunks = document_windows(lines).withColumn(
         "block", source_block(chunk_id(F.col("rn")), F.col("page_no"), F.col("text"))
@@ -175,7 +181,7 @@ def coverage_plan(lines: DataFrame, requested: Column) -> DataFrame:
         F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("bigint").alias("chars"),
         F.max("prompt_tokens").alias("est_tokens"),
     )
-    totals = windows.groupBy("doc_id").agg(F.count("*").alias("n_windows"))
+    totals = lines.groupBy("doc_id").agg((F.floor((F.count("*") - 1) / 12) + 1).alias("n_windows"))
     rank = F.col("window_no") + 1
     return windows.join(totals, "doc_id").select(
         "doc_id", "window_no", "n_chunks", "chars", "est_tokens",

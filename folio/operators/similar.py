@@ -179,16 +179,25 @@ def distinct_stems(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_match(candidates: DataFrame, seen: DataFrame, keys: list[str], with_ratio: bool = True) -> DataFrame:
-    """C18 against a set already seen: the first seen stem each candidate repeats or nearly repeats."""
+    """C18 against a set already seen: the first seen stem each candidate repeats or nearly repeats.
+
+    `is_exact` tells which of the two it is, as the rejection category (B14)
+    goes by the first seen stem that matches.
+    """
     cand, old = distinct_stems(candidates, keys), distinct_stems(seen, keys)
     tagged = cand.select("*", F.lit(0).alias("side")).union(old.select("*", F.lit(1).alias("side")))
     both = cut(describe(fan_out(tagged.withColumn("seq", F.struct("side", "seq")), "seq"), keys, with_ratio), "stems")
     near = matches(both.filter("seq.side = 0"), both.filter("seq.side = 1"), keys, False, with_ratio)
     exact = cand.join(old.withColumnRenamed("seq", "early"), [*keys, "stem_key"]).select(
-        *keys, F.col("seq").alias("later"), "early"
+        *keys, F.col("seq").alias("later"), "early", F.lit(True).alias("is_exact")
+    )
+    pairs = near.select(
+        *keys, F.col("later_seq.seq").alias("later"), F.col("early_seq.seq").alias("early"), F.lit(False).alias("is_exact")
+    ).union(exact)
+    first = F.min(F.struct("early", F.expr("not is_exact").alias("is_near")))
+    return pairs.groupBy(*keys, F.col("later").alias("seq")).agg(first.alias("f")).select(
+        *keys, "seq", F.col("f.early").alias("first_seen"), (~F.col("f.is_near")).alias("is_exact")
     )
-    pairs = near.select(*keys, F.col("later_seq.seq").alias("later"), F.col("early_seq.seq").alias("early")).union(exact)
-    return pairs.groupBy(*keys, F.col("later").alias("seq")).agg(F.min("early").alias("first_seen"))
 
 
 def greedy_filter(

@@ -71,8 +71,8 @@ def test_first_match_against_seen(spark):
     cand = spark.createDataFrame(
         [(10, "name the PLANT that stores energy!"), (11, "Name the plants that store energy"), (12, "What is the square of 5?"), (13, "What is the square of 4 ?")],
         "seq long, stem string")
-    got = {r["seq"]: r["first_seen"] for r in similar.first_match(cand, seen, []).collect()}
-    assert got == {10: 1, 11: 1, 13: 2}
+    got = {r["seq"]: (r["first_seen"], r["is_exact"]) for r in similar.first_match(cand, seen, []).collect()}
+    assert got == {10: (1, True), 11: (1, False), 13: (2, True)}
 
 
 OPTIONS = [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
