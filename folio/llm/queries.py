@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup
+from folio.llm import exact_dedup, mixing, reshard, simhash, vectors
 from folio.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,8 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+QUERIES["op4_reshard"] = reshard.op4_reshard
+QUERIES["op5_mix_sources"] = mixing.op5_mix_sources
+QUERIES["op2_simhash"] = simhash.op2_simhash
+QUERIES["op7_near_vectors"] = vectors.op7_near_vectors
