@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, mixing, reshard, simhash, vectors
+from folio.llm import exact_dedup, mixing, packing, reshard, simhash, vectors
 from folio.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,4 @@ QUERIES["op4_reshard"] = reshard.op4_reshard
 QUERIES["op5_mix_sources"] = mixing.op5_mix_sources
 QUERIES["op2_simhash"] = simhash.op2_simhash
 QUERIES["op7_near_vectors"] = vectors.op7_near_vectors
+QUERIES["op9_pack_sequences"] = packing.op9_pack_sequences
