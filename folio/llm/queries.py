@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, html, mixing, packing, reshard, simhash, vectors
+from folio.llm import exact_dedup, html, language, mixing, packing, reshard, simhash, vectors
 from folio.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,4 @@ QUERIES["op2_simhash"] = simhash.op2_simhash
 QUERIES["op7_near_vectors"] = vectors.op7_near_vectors
 QUERIES["op9_pack_sequences"] = packing.op9_pack_sequences
 QUERIES["op1_main_text"] = html.op1_main_text
+QUERIES["op8_language_id"] = language.op8_language_id
