@@ -6,22 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup
+from folio.llm import exact_dedup, language, mixing, packing, simhash
 from folio.runtime import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without one language for a fair part of their letters, go."""
+    return language.keep_identified(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.keep_first(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_representatives(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in the packed sequences."""
+    return packing.packed_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mix_sources", mix_stage),
+    ("pack_sequences", pack_stage),
 ]
 
-#: Language prediction, similarity components and local search are beyond SQL; tests/llm compares the stages with brute force.
+#: Predicted languages, components, and packings are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, html, language, lm, mixing, packing, reshard, simhash, vectors
+from folio.llm import exact_dedup, html, language, lm, mixing, packing, reshard, simhash, tool_calls, vectors
 from folio.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,5 @@ QUERIES["op9_pack_sequences"] = packing.op9_pack_sequences
 QUERIES["op1_main_text"] = html.op1_main_text
 QUERIES["op8_language_id"] = language.op8_language_id
 QUERIES["op3_lm_score"] = lm.op3_lm_score
+QUERIES["op6_tool_calls"] = tool_calls.op6_tool_calls
+ORACLES["op6_tool_calls"] = tool_calls.OP6_SQL
