@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import titles
 from folio.functions.classify import solid_lines
 from folio.functions.text import WORD_END, WORD_START, clean_heading
-from folio.operators.ordered import first_per, numbered, scan
+from folio.operators.ordered import first_per, numbered, page_cover, scan
 from folio.operators.tree import quality_gate
 
 # Outline titles that name print sheets, and titles that are exercises.
@@ -79,36 +78,59 @@ def confirmed_labels(candidates: DataFrame) -> DataFrame:
 
 
 def fill_labels(confirmed: DataFrame, page_counts: DataFrame, passes: int = 4) -> DataFrame:
-    """Labels of unnumbered pages from two agreeing neighbours, in four passes over the book.
+    """Labels of pages between numbered ones, in closed form.
 
-    Each pass walks the pages in order and sees what it filled before, so this
-    is a loop; it runs on the page numbers of one book, at most its page count.
+    The distance label - page of a known page is its offset. Two neighbouring pages
+    with equal offset make a pair.
+
+    Forward: after a pair, the gap takes its offset up to the next known page (that
+    page's own neighbour is left to it if it begins a pair), to the last page, and while labels do not
+    exceed the page count. A known page that stands alone with the offset carries it on into the next gap.
+    Backward: before a pair, the `passes` nearest unknown pages take its offset, down to label 1; lone
+    pages of equal offset are stepped over. Forward labels come first.
+
+    Known pages are rows of ordered scans, so a long book is spread like any other rows.
     """
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["page_count"].iloc[0])
-        known = dict(zip(pdf["page_no"], pdf["value"]))
-        for _ in range(passes):
-            before = len(known)
-            for p in range(1, total + 1):
-                if p in known:
-                    continue
-                a, b = known.get(p + 1), known.get(p + 2)
-                if a is not None and b is not None and b == a + 1:
-                    if a >= 2:
-                        known[p] = a - 1
-                    continue
-                a, b = known.get(p - 1), known.get(p - 2)
-                if a is not None and b is not None and a == b + 1 and a + 1 <= total:
-                    known[p] = a + 1
-            if len(known) == before:
-                break
-        rows = sorted(known.items())
-        return pd.DataFrame({
-            "book_id": pdf["book_id"].iloc[0], "page_no": [p for p, _ in rows], "label": [str(v) for _, v in rows],
-        })
-
-    return confirmed.join(page_counts, "book_id").groupBy("book_id").applyInPandas(
-        book, "book_id bigint, page_no bigint, label string"
+    near = scan(
+        confirmed.select("book_id", "page_no", "value", (F.col("value") - F.col("page_no")).alias("offset")),
+        ["book_id"], F.floor(F.col("page_no") / 1024), [F.col("page_no")],
+        lags={"before": F.struct("page_no", "offset")}, leads={"after": F.struct("page_no", "offset")},
+    )
+    page, offset = F.col("page_no"), F.col("offset")
+    touches_before = F.coalesce(F.col("before.page_no") == page - 1, F.lit(False))
+    touches_after = F.coalesce(F.col("after.page_no") == page + 1, F.lit(False))
+    alone = ~touches_before & ~touches_after
+    like_before = F.coalesce(F.col("before.offset") == offset, F.lit(False))
+    like_after = F.coalesce(F.col("after.offset") == offset, F.lit(False))
+    marked = near.withColumn("ends_pair", touches_before & like_before).withColumn("begins_pair", touches_after & like_after)
+    forward = scan(
+        marked.withColumn("alone", alone).withColumn("like_after", like_after),
+        ["book_id"], F.floor(page / 1024), [page],
+        fills={"carries": F.when(~(alone & like_before), F.col("ends_pair"))}, sums={"place": F.lit(1).cast("bigint")},
+        leads={"next_begins": F.col("begins_pair")},
+    )
+    anchor = F.when(~(F.col("alone") & F.col("like_after")), F.struct("page_no", "place", "begins_pair"))
+    known = scan(forward, ["book_id"], -F.floor(page / 1024), [-page], fills={"anchor": anchor}).join(page_counts, "book_id")
+    # Unknown pages between this one and the pair on its right that reaches it.
+    spent = (F.col("anchor.page_no") - page) - (F.col("anchor.place") - F.col("place"))
+    steps = F.when(F.col("anchor.begins_pair"), F.greatest(passes - spent, F.lit(0))).otherwise(F.lit(0))
+    last_gap = F.coalesce(F.col("after.page_no") - 1 - F.coalesce("next_begins", F.lit(False)).cast("bigint"), F.col("page_count"))
+    ahead = known.filter("carries").select(
+        "book_id", "offset", (page + 1).alias("lo"), F.least(last_gap, F.col("page_count"), F.col("page_count") - offset).alias("hi")
+    )
+    # What a forward run leaves of a gap is open to the page on its right.
+    with_left = scan(
+        known.select("book_id", "page_no", "offset", "carries", "before", "page_count", "begins_pair", steps.alias("steps")),
+        ["book_id"], F.floor(page / 1024), [page], lags={"left_carries": F.col("carries")},
+    )
+    run_end = F.when(F.col("left_carries"), F.least(page - 1 - F.col("begins_pair").cast("bigint"), F.col("page_count") - F.col("before.offset")))
+    floor = F.greatest(F.coalesce(F.col("before.page_no"), F.lit(0)), F.coalesce(run_end, F.lit(0)))
+    behind = with_left.filter("steps > 0").select(
+        "book_id", "offset", F.greatest(floor + 1, page - F.col("steps"), 1 - offset).alias("lo"), (page - 1).alias("hi")
+    )
+    filled = page_cover(ahead.unionByName(behind), "lo", "hi").select("book_id", "page_no", (page + offset).alias("value"))
+    return confirmed.join(page_counts.select("book_id"), "book_id").select("book_id", "page_no", "value").unionByName(filled).select(
+        "book_id", "page_no", F.col("value").cast("string").alias("label")
     )
 
 

@@ -93,7 +93,16 @@ def _labels(nodes, counts):
     return toc.fill_labels(toc.confirmed_labels(cut(toc.printed_candidates(nodes, counts), "labels")), counts)
 
 
-@query("E8_label_fill")
+# Four walks over the pages, each seeing what it has filled: a fold over the list of a book's labels.
+WALK = """SELECT book_id, page_count, list_reduce(list_concat([CAST([] AS BIGINT[])], list_transform(range(1, page_count + 1), lambda i: [i])), lambda acc, x: list_append(acc,
+  CASE WHEN k[x[1]] IS NOT NULL THEN k[x[1]] WHEN k[x[1] + 1] IS NOT NULL AND k[x[1] + 2] = k[x[1] + 1] + 1 THEN CASE WHEN k[x[1] + 1] >= 2 THEN k[x[1] + 1] - 1 END
+  WHEN acc[x[1] - 1] = acc[x[1] - 2] + 1 AND acc[x[1] - 1] + 1 <= page_count THEN acc[x[1] - 1] + 1 END)) AS k FROM"""
+FILLED = f"""{LABELS}, kl AS (SELECT q.book_id, q.page_count, list(c.value ORDER BY q.i) AS k FROM (SELECT book_id, page_count, unnest(range(1, page_count + 1)) AS i FROM pc WHERE book_id IN (SELECT book_id FROM conf)) q
+  LEFT JOIN conf c ON c.book_id = q.book_id AND c.page_no = q.i GROUP BY ALL),
+w1 AS ({WALK} kl), w2 AS ({WALK} w1), w3 AS ({WALK} w2), w4 AS ({WALK} w3)"""
+
+
+@query("E8_label_fill", f"""WITH {FILLED} SELECT book_id, page_no, CAST(v AS VARCHAR) AS label FROM (SELECT book_id, unnest(k) AS v, unnest(range(1, page_count + 1)) AS page_no FROM w4) WHERE v IS NOT NULL""")
 def e8(spark, sf):
     return _labels(_nodes(spark, sf), _page_counts(spark, sf))
 

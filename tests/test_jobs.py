@@ -1,6 +1,7 @@
 """Sources, rules, streams: what the SQL check cannot see."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,42 @@ def test_label_fill_passes(spark):
     assert got[2] == {8: "1", 9: "2", 10: "3"}
 
 
+def walked(known, total, passes=4):
+    """Labels after so many walks over the pages, each seeing what it has filled."""
+    known = dict(known)
+
+    def offsets(*pages):
+        found = {known[p] - p if p in known else None for p in pages}
+        return found.pop() if len(found) == 1 else None
+
+    for _ in range(passes):
+        for p in (p for p in range(1, total + 1) if p not in known):
+            right, left = offsets(p + 1, p + 2), offsets(p - 1, p - 2)
+            if right is not None:
+                if p + right >= 1:
+                    known[p] = p + right
+            elif left is not None and p + left <= total:
+                known[p] = p + left
+    return known
+
+
+def test_label_fill_equals_walks(spark):
+    rnd = random.Random(7)
+    rows, counts, want = [], [], {}
+    for book in range(300):
+        total, share = rnd.randint(1, 30), rnd.choice([0.2, 0.4, 0.6])
+        offsets = [rnd.randint(-4, 6) for _ in range(rnd.choice([1, 2, 3]))]
+        known = {p: p + rnd.choice(offsets) for p in range(1, total + 1) if rnd.random() < share}
+        known = {p: v for p, v in known.items() if 1 <= v <= total}
+        counts.append((book, total))
+        rows += [(book, p, v) for p, v in known.items()]
+        want |= {(book, p): str(v) for p, v in walked(known, total).items()}
+    got = toc.fill_labels(
+        spark.createDataFrame(rows, "book_id long, page_no long, value long"), spark.createDataFrame(counts, "book_id long, page_count long")
+    ).collect()
+    assert len(got) == len(want) and {(r.book_id, r.page_no): r.label for r in got} == want
+
+
 def at(minutes):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
 

@@ -1,6 +1,8 @@
 """Geometry: lines, blocks, tables, scripts, scanner against a plain loop."""
 
+import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -113,28 +115,62 @@ def test_scanner_precedence_and_whole_text(spark):
     ]
 
 
-class Row:
-    def __init__(self, values):
-        names = [c.split()[0] for c in LINE.split(", ")]
-        self.__dict__.update(zip(names, values), segment=0)
+def states(rows, rules):
+    """Block of every line by a machine whose state is the kind of the open block."""
+    rows = [dict(zip([c.split()[0] for c in LINE.split(", ")], r)) for r in rows]
+    cells = [len([c for c in re.split(r"\s{2,}|\t+", r["text"].strip()) if c]) for r in rows]
+    section = tuple(m.lower() for m in rules.example + rules.activity + rules.exercise)
+    out, state = [], None
+    for i, r in enumerate(rows):
+        p, text, low = rows[i - 1] if i else None, r["text"], r["text"].lower()
+        item, short = bool(re.match(blocks.LIST_ITEM, text)), len(text) < 70
+        goes_on = False
+        if p:
+            gap, same = r["y0"] - p["y1"], r["page_no"] == p["page_no"]
+            height = sum(max(1.0, x["y1"] - x["y0"]) for x in (r, p)) / 2
+            goes_on = {
+                "table": cells[i] >= rules.table_min_cols,
+                "list": item or (r["x0"] > p["x0"] + rules.list_indent and gap < rules.list_gap),
+                "callout": not (r["ratio"] >= rules.heading_2_ratio and short or low.startswith(section) or same and gap > rules.callout_gap),
+                "paragraph": not (
+                    r["page_no"] - p["page_no"] > 1 or r["ratio"] >= rules.heading_3_ratio and short and not text.endswith(".") or low.startswith(section)
+                    or same and gap > height * rules.max_line_gap_ratio or p["text"][-1:] in tuple(".!?:") and not text[:1].islower()
+                ),
+            }.get(state, False)
+        if goes_on:
+            out[-1][3].append(r)
+            continue
+        run = list(itertools.takewhile(lambda n: n >= rules.table_min_cols, cells[i:]))
+        named = [k for k, ms in rules.markers().items() if low.startswith(tuple(m.lower() for m in ms))]
+        if any(run.count(n) >= rules.table_min_rows for n in run):
+            state, kind = "table", "table"
+        elif item:
+            state, kind = "list", "list"
+        elif not text.endswith(".") and (r["ratio"] >= rules.heading_3_ratio and len(text) < 80 or r["bold"] and short):
+            state, kind = "heading", "heading"
+        elif named:
+            state, kind = "callout", named[0]
+        else:
+            state, kind = "paragraph", "paragraph"
+        out.append((r["page_no"], r["line_no"], kind, [r]))
+    return [(p, n, kind, len(lines), {x["page_no"] for x in lines}) for p, n, kind, lines in out]
 
 
-def test_segments_do_not_change_blocks(spark):
+def test_scanner_equals_state_machine(spark):
     rnd = random.Random(11)
-    texts = ["Example a", "Note b", "• item", "(a) item", "x  y", "x  y  z", "plain text.", "plain text", "lower", "Activity c", "Big head", "ends-"]
+    texts = ["Example a", "Note b", "• item", "(a) item", "x  y", "x  y  z", "x  y", "plain text.", "plain text", "lower", "Activity c", "Big head", "ends-"]
     rows, y, p = [], 10.0, 1
-    for _ in range(600):
+    for _ in range(800):
         y += rnd.choice([11.0, 14.0, 22.0, 40.0, 60.0])
         if y > 700:
             y, p = 10.0, p + rnd.choice([1, 1, 2])
         rows.append((p, y, rnd.choice(texts), rnd.choice([1.0, 1.0, 1.0, 1.1, 1.3, 1.5]), rnd.random() < 0.1, rnd.choice([72.0, 72.0, 90.0])))
     rows = page(rows)
-    whole = blocks.segment_blocks([Row(r) for r in rows], Rules())
-    want = sorted((b[6], b[7], b[3], b[5], b[8]) for b in whole)
     got = blocks.scan_blocks(spark.createDataFrame(rows, LINE))
     assert got.select("segment").distinct().count() > 20
-    assert sorted((r["first_page"], r["first_line"], r["block_type"], r["text"], r["n_lines"]) for r in got.collect()) == want
-    assert sum(b[8] for b in whole) == len(rows)
+    found = sorted((r["first_page"], r["first_line"], r["block_type"], r["n_lines"], set(r["pages"])) for r in got.collect())
+    assert found == sorted(states(rows, Rules()))
+    assert sum(b[3] for b in found) == len(rows)
 
 
 def test_script_merge(spark):
