@@ -24,9 +24,14 @@ def _lookup(values: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(v) for v in chain.from_iterable((k, int(n)) for k, n in values.items())])
 
 
+# White space and digits of all scripts, spelled alike for Java and RE2 patterns.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+DIGIT = r"\p{Nd}"
+
+
 def strip_space(c: Column) -> Column:
-    """Trim every kind of ASCII white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim every kind of white space, not only blanks."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def roman_to_int(token: Column) -> Column:
@@ -49,25 +54,27 @@ def roman_to_int(token: Column) -> Column:
 
 
 def words_to_int(text: Column) -> Column:
-    """English number words with hundreds and thousands; null when any word is not a number."""
+    """English number words with hundreds and thousands; null when any word is not a number, or past 38 digits."""
     cleaned = F.regexp_replace(F.lower(text), r"[^a-zA-Z\s\-]", " ")
     words = F.filter(F.split(cleaned, r"[\s\-]+"), lambda w: (w != "") & (w != "and"))
     value, scale = _lookup(WORD_VALUES), _lookup(SCALES)
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("run"), F.lit(True).alias("ok"))
+    wide = "decimal(38,0)"
+    zero, one = F.lit(0).cast(wide), F.lit(1).cast(wide)
+    start = F.struct(zero.alias("total"), zero.alias("run"), F.lit(True).alias("ok"))
 
     def step(acc: Column, w: Column) -> Column:
         plain, by = F.try_element_at(value, w), F.try_element_at(scale, w)
-        scaled = F.when(acc["run"] == 0, F.lit(1)).otherwise(acc["run"]) * by
+        scaled = F.try_multiply(F.when(acc["run"] == 0, one).otherwise(acc["run"]), by.cast(wide)).try_cast(wide)
         closes = by >= 1000
-        run = F.when(plain.isNotNull(), acc["run"] + plain).when(closes, F.lit(0)).when(
+        run = F.when(plain.isNotNull(), F.try_add(acc["run"], plain.cast(wide)).try_cast(wide)).when(closes, zero).when(
             by.isNotNull(), scaled
         ).otherwise(acc["run"])
-        total = acc["total"] + F.when(plain.isNull() & closes, scaled).otherwise(F.lit(0))
+        total = F.try_add(acc["total"], F.when(plain.isNull() & closes, scaled).otherwise(zero)).try_cast(wide)
         known = acc["ok"] & (plain.isNotNull() | by.isNotNull())
         return F.struct(total.alias("total"), run.alias("run"), known.alias("ok"))
 
     folded = F.aggregate(words, start, step)
-    return F.when((F.size(words) > 0) & folded["ok"], folded["total"] + folded["run"])
+    return F.when((F.size(words) > 0) & folded["ok"], F.try_add(folded["total"], folded["run"]).try_cast(wide))
 
 
 def canonical_token(token: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.numbers import strip_space
+from folio.functions.numbers import DIGIT, SPACE, strip_space
 
 WORD_START = r"(^|[^\p{L}\p{N}_])"
 WORD_END = r"($|[^\p{L}\p{N}_])"
@@ -23,26 +25,27 @@ def clean_heading(c: Column) -> Column:
 
 def running_text_key(c: Column) -> Column:
     """H2: what a running header says once its page number is taken away."""
-    t = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    t = F.regexp_replace(t, r"^\d+\s*", "")
-    t = F.regexp_replace(t, r"\s*\d+$", "")
+    t = F.lower(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")))
+    t = F.regexp_replace(t, f"^{DIGIT}+ *", "")
+    t = F.regexp_replace(t, f" *{DIGIT}+$", "")
     return F.trim(t)
 
 
 def is_page_number(c: Column) -> Column:
     """H3: a line that is nothing but a page number."""
     t = strip_space(c)
-    return t.rlike(r"^\d+$") | t.rlike(r"(?i)^page\s+\d+$") | t.rlike(r"^\d+\s*[-/]\s*\d+$")
+    forms = (f"^{DIGIT}+$", f"(?i)^page{SPACE}+{DIGIT}+$", f"^{DIGIT}+{SPACE}*[-/]{SPACE}*{DIGIT}+$")
+    return t.rlike(forms[0]) | t.rlike(forms[1]) | t.rlike(forms[2])
 
 
 def stem_key(c: Column) -> Column:
     """H5: a stem without case, punctuation or spacing; `$` and backslash stay."""
     t = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s$\\]", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def content_hash(c: Column) -> Column:
@@ -186,8 +189,8 @@ def canonical_question_hash(stem: Column, option_texts: Column, correct: Column,
 
 
 def option_letter(index: Column) -> Column:
-    """0..3 -> A..D."""
-    return F.try_element_at(F.array(*[F.lit(x) for x in "ABCD"]), (index + 1).cast("int"))
+    """0, 1, 2 ... -> A, B, C ...; null past Z."""
+    return F.try_element_at(F.array(*[F.lit(x) for x in ascii_uppercase]), (index + 1).cast("int"))
 
 
 # Reason codes and what a reader is told.

@@ -135,7 +135,7 @@ def exercise_label(text: Column, title: Column, chapter: Column) -> Column:
     far = F.abs(major.try_cast("int") - ch) > 1
     conflict = counted & (major != "") & (major != chapter) & ((minor != "") | far)
 
-    sample = F.split(F.substring(F.coalesce(text, F.lit("")), 1, 400), r"\n")
+    sample = F.split(F.coalesce(text, F.lit("")), r"\n")
     dotted = "(?i)(?:^|[^\\p{L}\\p{N}_])Exercise\\s+(\\d{1,2})[0.\\-·•°\ufffd\\s]+(\\d{1,2})(?:$|[^\\p{L}\\p{N}_])"
     single = r"(?i)(?:^|[^\p{L}\p{N}_])Exercise\s+(\d{1,2})(?:$|[^\p{L}\p{N}_])"
 

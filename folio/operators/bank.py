@@ -14,7 +14,7 @@ from folio.operators.questions import declared_answer
 
 def with_content_hash(candidates: DataFrame) -> DataFrame:
     """The canonical hash of every candidate."""
-    texts = F.transform(F.slice("options", 1, 4), lambda o: o["text"])
+    texts = F.transform("options", lambda o: o["text"])
     correct = F.coalesce(declared_answer(F.col("options"), F.col("correct_option_id")), F.lit(""))
     return candidates.withColumn("content_hash", canonical_question_hash(F.col("stem"), texts, correct))
 
@@ -40,7 +40,7 @@ def save_generated(hashed: DataFrame, stored: DataFrame, keys: Sequence[str] = (
 
 def option_map(saved: DataFrame, stored_options: DataFrame) -> DataFrame:
     """The i-th generated option to the i-th stored option; new questions number their own options."""
-    pos = saved.select("question_id", "bank_id", F.posexplode(F.slice("options", 1, 4)).alias("i", "o"))
+    pos = saved.select("question_id", "bank_id", F.posexplode("options").alias("i", "o"))
     place = pos.select("question_id", "bank_id", F.col("i").cast("bigint").alias("canonical_order"), F.col("o.id").alias("generated_id"))
     known = stored_options.select(F.col("question_id").cast("string").alias("bank_id"), "canonical_order", F.col("option_id").alias("stored_option"))
     fresh = F.concat(F.col("bank_id"), F.lit("_"), (F.col("canonical_order") + 1).cast("string"))
@@ -93,9 +93,13 @@ def scope_with_descendants(node: str, pairs: DataFrame) -> DataFrame:
     return below.union(pairs.sparkSession.range(1).select(F.lit(node).alias("node_id")))
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """one page; the limit is pushed into the sort, so only page*size rows per task survive."""
-    page, size = max(1, page), max(1, min(100, size))
+def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int, largest: int = 100) -> DataFrame:
+    """one page; the limit is pushed into the sort, so only page*size rows per task survive.
+
+    Pages count from 1 and hold at most `largest` rows; other arguments are errors.
+    """
+    if page < 1 or not 1 <= size <= largest:
+        raise ValueError(f"page {page} of size {size}: pages start at 1, sizes are 1 to {largest}")
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

@@ -85,23 +85,15 @@ def upload_decisions(uploads: DataFrame, versions: DataFrame) -> DataFrame:
 def backfill_grades(versions: DataFrame, grades: DataFrame) -> DataFrame:
     """Grade of unassigned versions from detected code, then level, then a unique mention in title or file name.
 
-    Mentions are found by equality: every run of up to three words of the text
-    against the normalised names of grades, then confirmed on the text itself.
+    Mentions are found by equality of a name's first word with a word of the text, then confirmed on the
+    text itself, so names of any length are found.
     """
     open_ = versions.filter("grade_id is null")
     codes = grades.select(F.lower("code").alias("found_code"), F.col("grade_id").alias("by_code"))
     levels = grades.filter("level_number is not null").select(F.col("level_number").alias("found_level"), F.col("grade_id").alias("by_level"))
     low = F.lower(F.concat_ws(" ", "title", "source_filename"))
     words = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    n = F.size("w")
-
-    def phrases(k: int) -> Column:
-        starts = F.sequence(F.lit(1), n - (k - 1))
-        several = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-        return F.when(n >= k, several).otherwise(F.array().cast("array<string>"))
-
-    runs = F.flatten(F.array(phrases(1), phrases(2), phrases(3)))
-    said = open_.select("version_id", low.alias("t"), words.alias("w")).select("version_id", "t", F.explode(F.array_distinct(runs)).alias("phrase"))
+    said = open_.select("version_id", low.alias("t"), F.explode(F.array_distinct(words)).alias("first_word"))
     level = F.col("level_number").cast("string")
     quoted = [F.concat(F.lit(r"\Q"), F.lower(c), F.lit(r"\E")) for c in ("name", "code")]
     edge = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
@@ -115,9 +107,9 @@ def backfill_grades(versions: DataFrame, grades: DataFrame) -> DataFrame:
         ],
     )
     named = grades.select("grade_id", F.explode(F.filter(forms, lambda f: f["p"].isNotNull())).alias("f")).select(
-        "grade_id", F.trim(F.regexp_replace("f.p", r"[^\p{L}\p{N}_]+", " ")).alias("phrase"), F.col("f.r").alias("confirm")
-    )
-    hits = said.join(named, "phrase").filter(F.expr("rlike(t, confirm)")).select("version_id", "grade_id").distinct()
+        "grade_id", F.regexp_extract("f.p", r"[\p{L}\p{N}_]+", 0).alias("first_word"), F.col("f.r").alias("confirm")
+    ).distinct()
+    hits = said.join(named, "first_word").filter(F.expr("rlike(t, confirm)")).select("version_id", "grade_id").distinct()
     unique = hits.groupBy("version_id").agg(F.count("*").alias("n"), F.max("grade_id").alias("by_text")).filter("n = 1")
     full = (
         open_.withColumn("found_code", F.lower("detected_code")).withColumn("found_level", F.col("detected_level"))
@@ -213,7 +205,7 @@ def patch_metadata(versions: DataFrame, patches: DataFrame, grades: DataFrame, s
 
 
 def refresh_metadata(versions: DataFrame, detected: DataFrame, grades: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Newly detected values fill empty fields of versions nobody has confirmed."""
+    """Newly detected values fill empty fields of versions nobody has confirmed; a new year or edition replaces the old one."""
     full = (
         versions.join(detected, "version_id", "left")
         .join(grades.select(F.col("code").alias("found_grade"), F.col("grade_id").alias("g_id")), "found_grade", "left")
@@ -226,5 +218,6 @@ def refresh_metadata(versions: DataFrame, detected: DataFrame, grades: DataFrame
     named = full.withColumn("new_grade", grade).withColumn("new_subject", subject).withColumn("new_status", status)
     return named.select(
         "version_id", F.col("new_grade").alias("grade_id"), F.col("new_subject").alias("subject_id"),
-        F.when(free, F.col("found_year")).alias("publication_year"), F.col("new_status").alias("metadata_status"),
+        F.coalesce(F.when(free, F.col("found_year")), F.col("publication_year")).alias("publication_year"),
+        F.coalesce(F.when(free, F.col("found_edition")), F.col("edition")).alias("edition"), F.col("new_status").alias("metadata_status"),
     )

@@ -118,7 +118,7 @@ def rebuild(items: DataFrame, questions: DataFrame, options: DataFrame) -> DataF
     full = items.join(questions.select("question_id", "stem", "correct_option_id"), "question_id").join(
         options_per_question(options).select("question_id", "option_texts"), "question_id", "left"
     )
-    order = F.slice("option_order", 1, 4)
+    order = F.col("option_order")
     texts = F.transform(order, lambda o, i: F.struct(option_letter(i).alias("letter"), o.alias("id"), F.try_element_at("option_texts", o).alias("text")))
     shown = F.filter(texts, lambda x: x["text"].isNotNull())
     right = F.try_element_at(F.filter(shown, lambda x: x["id"] == F.col("correct_option_id")), F.lit(-1))

@@ -25,17 +25,39 @@ def declared_answer(options: Column, correct_id: Column) -> Column:
     return F.try_element_at(F.filter(options, lambda o: o["id"] == correct_id), F.lit(1))["text"]
 
 
-def arithmetic_fails(stem: Column, answer: Column) -> Column:
-    """B15: 'square of n' and 'square root of n' against a declared answer made of digits."""
+def arithmetic_verdict(stem: Column, answer: Column) -> Column:
+    """B15: 'square of n' and 'square root of n' against a declared answer made of digits.
+
+    'right', 'wrong', or 'unchecked' where the stem's number or its square has more
+    than 38 digits; null where the stem asks for neither or the answer is no number.
+    A root is only checked for perfect squares.
+    """
+    wide = "decimal(38,0)"
     given = strip_space(answer)
     is_number = given.rlike(r"^\d+$")
-    base = F.regexp_extract(stem, r"(?i)square\s+of\s+(\d+)", 1).try_cast("decimal(19,0)")
-    square = (base * base).cast("string")
-    radicand = F.regexp_extract(stem, r"(?i)square\s+root\s+of\s+(\d+)", 1).try_cast("bigint")
-    root = F.round(F.sqrt(radicand.cast("double"))).cast("bigint")
-    wrong_square = base.isNotNull() & is_number & (given != square)
-    wrong_root = radicand.isNotNull() & (root * root == radicand) & is_number & (given != root.cast("string"))
-    return F.coalesce(wrong_square, F.lit(False)) | F.coalesce(wrong_root, F.lit(False))
+    base_text = F.regexp_extract(stem, r"(?i)square\s+of\s+(\d+)", 1)
+    base = base_text.try_cast(wide)
+    square = F.try_multiply(base, base).try_cast(wide)
+    of_square = F.when(base_text != "", F.when(square.isNull(), "unchecked").when(given == square.cast("string"), "right").otherwise("wrong"))
+    root_text = F.regexp_extract(stem, r"(?i)square\s+root\s+of\s+(\d+)", 1)
+    radicand = root_text.try_cast(wide)
+    guess = F.round(F.sqrt(radicand.cast("double"))).try_cast(wide)
+    # A double is off by some units for large roots: one Newton step, then the neighbours, in whole numbers.
+    miss = F.try_subtract(radicand, F.try_multiply(guess, guess).try_cast(wide)).cast("double")
+    near = F.try_add(guess, F.round(F.try_divide(miss, 2 * guess.cast("double"))).try_cast(wide)).try_cast(wide)
+    tries = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.try_add(F.coalesce(near, guess), d.cast(wide)).try_cast(wide))
+    root = F.try_element_at(F.filter(tries, lambda r: (r >= 0) & (F.try_multiply(r, r).try_cast(wide) == radicand)), F.lit(1))
+    of_root = F.when(
+        root_text != "",
+        F.when(radicand.isNull(), "unchecked").when(root.isNull(), F.lit(None)).when(given == root.cast("string"), "right").otherwise("wrong"),
+    )
+    both = F.when((of_square == "wrong") | (of_root == "wrong"), "wrong").otherwise(F.coalesce(of_square, of_root))
+    return F.when(is_number, both)
+
+
+def arithmetic_fails(stem: Column, answer: Column) -> Column:
+    """Whether the arithmetic is wrong; what cannot be checked is not."""
+    return F.coalesce(arithmetic_verdict(stem, answer) == "wrong", F.lit(False))
 
 
 def first_failure(
@@ -148,13 +170,13 @@ def recent_stems(candidates: DataFrame, key: str, keep: int = 20) -> DataFrame:
 def labelled(options: Column) -> Column:
     """Options as 'A) text' in their given order."""
     return F.array_join(
-        F.transform(F.slice(options, 1, 4), lambda o, i: F.concat(option_letter(i), F.lit(") "), strip_space(o["text"]))), "|"
+        F.transform(options, lambda o, i: F.concat(option_letter(i), F.lit(") "), strip_space(o["text"]))), "|"
     )
 
 
 def answer_letter(options: Column, correct_id: Column) -> Column:
     """Letter of the correct option; A when none matches."""
-    at = F.array_position(F.transform(F.slice(options, 1, 4), lambda o: o["id"]), correct_id)
+    at = F.array_position(F.transform(options, lambda o: o["id"]), correct_id)
     return F.when(at > 0, option_letter(at - 1)).otherwise("A")
 
 
@@ -165,7 +187,7 @@ def answer_key(candidates: DataFrame, key: str) -> DataFrame:
     return ranked.select(
         key, "question_number", "question_id", labelled(F.col("options")).alias("option_labels"),
         answer_letter(F.col("options"), correct).alias("correct_letter"),
-        F.coalesce(strip_space(declared_answer(F.slice("options", 1, 4), correct)), F.lit("")).alias("correct_text"),
+        F.coalesce(strip_space(declared_answer(F.col("options"), correct)), F.lit("")).alias("correct_text"),
     )
 
 

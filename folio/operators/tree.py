@@ -6,50 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.ordered import first_per, numbered, page_cover, scan
-
-
-def tree_height(nodes: DataFrame) -> int:
-    """Deepest level present; one small aggregate that tells how many steps a closure takes."""
-    return int(nodes.agg(F.max("depth")).first()[0] or 0)
+from folio.runtime import cut
 
 
 def closure(nodes: DataFrame, levels: int | None = None) -> DataFrame:
-    """All (ancestor, descendant, distance) pairs.
+    """All (ancestor, descendant, distance) pairs, each with its shortest distance.
 
-    One join per tree level against the edges of inner nodes only: a node
-    without children is never anybody's ancestor, so the build side stays a
-    small share of the tree.
+    One join per level against the edges of inner nodes only: a node without children is never
+    anybody's ancestor, so the build side stays a small share of the tree. Without `levels`, steps
+    go on until one adds no new pair, whatever depth is stored; each is a written
+    table, and pairs met before are dropped, so a cycle ends as well.
     """
-    levels = tree_height(nodes) if levels is None else levels
     edges = nodes.filter(F.col("parent_id").isNotNull()).select("node_id", "parent_id")
     inner = edges.join(edges.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_semi")
     step = edges.select(
         F.col("node_id").alias("descendant_id"), F.col("parent_id").alias("ancestor_id"),
         F.lit(1).cast("bigint").alias("distance"),
     )
-    pairs = step
-    for _ in range(levels - 1):
-        step = step.join(inner, F.col("ancestor_id") == F.col("node_id")).select(
+
+    def up(reached: DataFrame) -> DataFrame:
+        return reached.join(inner, F.col("ancestor_id") == F.col("node_id")).select(
             "descendant_id", F.col("parent_id").alias("ancestor_id"), (F.col("distance") + 1).alias("distance")
         )
-        pairs = pairs.union(step)
-    return pairs
+
+    pairs = step
+    if levels is not None:
+        for _ in range(levels - 1):
+            step = up(step)
+            pairs = pairs.union(step)
+        return pairs
+    while True:
+        fresh = up(step).filter("ancestor_id <> descendant_id").join(pairs, ["descendant_id", "ancestor_id"], "left_anti")
+        step = cut(fresh, "closure")
+        if step.isEmpty():
+            return pairs
+        pairs = pairs.union(step.select(*pairs.columns))
 
 
 def scope_paths(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """The path of every node from its root; a node whose parent is unknown is a root."""
-    levels = tree_height(nodes) if levels is None else levels
     known = nodes.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     placed = nodes.join(known, "parent_id", "left").select("node_id", "parent_id", "known")
     step = placed.filter("known is null").select("node_id", F.col("node_id").alias("path"), F.lit(0).cast("bigint").alias("level"))
     edges = placed.filter("known").select(F.col("node_id").alias("child"), "parent_id")
-    out = step
-    for _ in range(levels):
+    out, depth = step, 0
+    while levels is None or depth < levels:
         step = edges.join(step, F.col("parent_id") == F.col("node_id")).select(
             F.col("child").alias("node_id"), F.concat("path", F.lit("/"), "child").alias("path"),
             (F.col("level") + 1).alias("level"),
         )
-        out = out.union(step)
+        if levels is None:
+            # Without a stated depth, steps go on until no child is left.
+            step = cut(step, "paths")
+            if step.isEmpty():
+                break
+        out, depth = out.union(step), depth + 1
     children = placed.filter("known").groupBy("parent_id").agg(F.count("*").alias("n_children"))
     return out.join(children.withColumnRenamed("parent_id", "node_id"), "node_id", "left").select(
         "node_id", "path", "level", F.coalesce("n_children", F.lit(0)).alias("n_children")

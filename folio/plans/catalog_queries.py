@@ -264,14 +264,18 @@ def j2(spark, sf):
     return C.patch_metadata(v, patches, _grades(spark, sf), _subjects(spark, sf))
 
 
-@query("J3_metadata_refresh", f"""WITH {duck.VERSIONS}, {DIMS}, d AS (SELECT version_id, concat('class-', version_id % 15) AS fg, CASE WHEN version_id % 2 = 0 THEN 'physics' END AS fs, 2000 + version_id % 20 AS fy FROM v_versions WHERE version_id % 5 <> 0),
-x AS (SELECT v.version_id, v.metadata_status AS ms, CASE WHEN metadata_status <> 'USER_CONFIRMED' THEN coalesce(v.grade_id, g.grade_id) ELSE v.grade_id END AS grade_id, CASE WHEN metadata_status <> 'USER_CONFIRMED' THEN coalesce(v.subject_id, s.subject_id) ELSE v.subject_id END AS subject_id, fy
+@query("J3_metadata_refresh", f"""WITH {duck.VERSIONS}, {DIMS}, d AS (SELECT version_id, concat('class-', version_id % 15) AS fg, CASE WHEN version_id % 2 = 0 THEN 'physics' END AS fs, CASE WHEN version_id % 3 <> 0 THEN 2000 + version_id % 20 END AS fy, CASE WHEN version_id % 7 = 0 THEN 'Second' END AS fe FROM v_versions WHERE version_id % 5 <> 0),
+x AS (SELECT v.version_id, CASE WHEN version_id % 4 = 0 THEN 1990 + version_id % 9 END AS sy, CASE WHEN version_id % 6 = 0 THEN 'First' END AS se, fe, v.metadata_status AS ms, CASE WHEN metadata_status <> 'USER_CONFIRMED' THEN coalesce(v.grade_id, g.grade_id) ELSE v.grade_id END AS grade_id, CASE WHEN metadata_status <> 'USER_CONFIRMED' THEN coalesce(v.subject_id, s.subject_id) ELSE v.subject_id END AS subject_id, fy
   FROM v_versions v LEFT JOIN d USING (version_id) LEFT JOIN grades g ON g.code = fg LEFT JOIN subjects s ON s.subject_code = fs)
-SELECT version_id, grade_id, subject_id, CASE WHEN ms <> 'USER_CONFIRMED' THEN fy END AS publication_year, CASE WHEN ms = 'USER_CONFIRMED' THEN ms WHEN grade_id IS NOT NULL AND subject_id IS NOT NULL THEN 'VALID' ELSE 'NEEDS_REVIEW' END AS metadata_status FROM x""")
+SELECT version_id, grade_id, subject_id, CASE WHEN ms = 'USER_CONFIRMED' OR fy IS NULL THEN sy ELSE fy END AS publication_year, CASE WHEN ms = 'USER_CONFIRMED' OR fe IS NULL THEN se ELSE fe END AS edition, CASE WHEN ms = 'USER_CONFIRMED' THEN ms WHEN grade_id IS NOT NULL AND subject_id IS NOT NULL THEN 'VALID' ELSE 'NEEDS_REVIEW' END AS metadata_status FROM x""")
 def j3(spark, sf):
-    v = views.versions(spark, sf).drop("front_text")
+    v = views.versions(spark, sf).drop("front_text").selectExpr(
+        "*", "CASE WHEN version_id % 4 = 0 THEN 1990 + version_id % 9 END AS publication_year", "CASE WHEN version_id % 6 = 0 THEN 'First' END AS edition"
+    )
+    # A fifth of the versions has nothing detected, so that the outer join is exercised.
     detected = v.filter("version_id % 5 <> 0").selectExpr(
-        "version_id", "concat('class-', version_id % 15) AS found_grade", "CASE WHEN version_id % 2 = 0 THEN 'physics' END AS found_subject", "2000 + version_id % 20 AS found_year"
+        "version_id", "concat('class-', version_id % 15) AS found_grade", "CASE WHEN version_id % 2 = 0 THEN 'physics' END AS found_subject",
+        "CASE WHEN version_id % 3 <> 0 THEN 2000 + version_id % 20 END AS found_year", "CASE WHEN version_id % 7 = 0 THEN 'Second' END AS found_edition",
     )
     return C.refresh_metadata(v, detected, _grades(spark, sf), _subjects(spark, sf))
 

@@ -26,21 +26,27 @@ def h1(spark, sf):
     return raw.select(*KEY, text.clean_heading(F.col("t")).alias("cleaned"))
 
 
-RUNNING = """trim(regexp_replace(regexp_replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '^\\d+\\s*', ''), '\\s*\\d+$', ''))"""
-PAGE_NO = """(regexp_matches({0}, '^\\d+$') OR regexp_matches({0}, '(?i)^page\\s+\\d+$') OR regexp_matches({0}, '^\\d+\\s*[-/]\\s*\\d+$'))"""
+SP = numbers.SPACE.replace("{", "{{").replace("}", "}}")
+ND = numbers.DIGIT.replace("{", "{{").replace("}", "}}")
+RUNNING = f"""trim(regexp_replace(regexp_replace(lower(trim(regexp_replace({{0}}, '{SP}+', ' ', 'g'))), '^{ND}+ *', ''), ' *{ND}+$', ''))"""
+PAGE_NO = f"""(regexp_matches({{0}}, '^{ND}+$') OR regexp_matches({{0}}, '(?i)^page{SP}+{ND}+$') OR regexp_matches({{0}}, '^{ND}+{SP}*[-/]{SP}*{ND}+$'))"""
 
 
-@query("H2_running_text_key", f"WITH {duck.BOOK} SELECT {KEYS}, {RUNNING.format('text')} AS running_key FROM v_book")
+# Lines with no-break spaces and numbers in digits of another script.
+HEADED = "CASE line_no % 3 WHEN 0 THEN concat('১২', chr(160), text) WHEN 1 THEN concat(text, chr(160), ' ', page_no) ELSE text END"
+
+
+@query("H2_running_text_key", f"WITH {duck.BOOK} SELECT {KEYS}, {RUNNING.format(HEADED)} AS running_key FROM v_book")
 def h2(spark, sf):
-    return views.book_lines(spark, sf).select(*KEY, text.running_text_key(F.col("text")).alias("running_key"))
+    return views.book_lines(spark, sf).select(*KEY, text.running_text_key(F.expr(HEADED)).alias("running_key"))
 
 
-PAGE_FORMS = """CASE line_no % 5 WHEN 0 THEN CAST(line_no AS STRING) WHEN 1 THEN concat('Page ', line_no)
+PAGE_FORMS = """CASE line_no % 7 WHEN 5 THEN '১২' WHEN 6 THEN concat('page', chr(160), line_no, chr(160)) WHEN 0 THEN CAST(line_no AS STRING) WHEN 1 THEN concat('Page ', line_no)
   WHEN 2 THEN concat(line_no, ' - ', page_no) WHEN 3 THEN concat(line_no, '/', page_no) ELSE text END"""
 
 
-@query("H3_page_number", f"""WITH {duck.BOOK}, m AS (SELECT {KEYS}, {PAGE_FORMS} AS t FROM v_book)
-SELECT {KEYS}, {PAGE_NO.format('t')} AS is_number FROM m""")
+@query("H3_page_number", f"""WITH {duck.BOOK}, m AS (SELECT {KEYS}, {PAGE_FORMS} AS raw FROM v_book), t AS (SELECT *, regexp_replace(raw, '^{numbers.SPACE}+|{numbers.SPACE}+$', '', 'g') AS t FROM m)
+SELECT {KEYS}, {PAGE_NO.format('t')} AS is_number FROM t""")
 def h3(spark, sf):
     forms = views.book_lines(spark, sf).selectExpr(*KEY, f"{PAGE_FORMS} AS t")
     return forms.select(*KEY, text.is_page_number(F.col("t")).alias("is_number"))
@@ -50,7 +56,8 @@ TOKENS = """CASE p_partkey % 9 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN co
   WHEN 2 THEN CASE p_size % 6 WHEN 0 THEN 'XIV' WHEN 1 THEN 'xlii' WHEN 2 THEN 'MCMXCIX' WHEN 3 THEN 'IX:' WHEN 4 THEN 'vv' ELSE 'D' END
   WHEN 3 THEN CASE p_size % 5 WHEN 0 THEN 'twenty-five' WHEN 1 THEN 'one hundred and two' WHEN 2 THEN 'Nineteen.'
      WHEN 3 THEN 'two thousand three hundred forty' ELSE 'hundred' END
-  WHEN 4 THEN p_name WHEN 5 THEN ' seventh ' WHEN 6 THEN '—' WHEN 7 THEN concat(p_size, '.') ELSE 'and' END"""
+  WHEN 4 THEN p_name WHEN 5 THEN ' seventh ' WHEN 6 THEN '—' WHEN 7 THEN concat(p_size, '.') WHEN 8 THEN CASE p_size % 2 WHEN 0 THEN 'hundred-hundred-hundred-hundred-hundred' ELSE '{LONG}' END ELSE 'and' END"""
+TOKENS = TOKENS.replace('{LONG}', '-'.join(['thousand'] * 3 + ['hundred'] * 25))
 
 H4_SQL = f"""WITH t AS (SELECT p_partkey, regexp_replace(regexp_replace({TOKENS}, '^\\s+|\\s+$', '', 'g'), '[.:\\-—]+$', '') AS b FROM part),
 r AS (SELECT p_partkey, b, upper(b) AS u, [CASE x WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100
@@ -58,16 +65,16 @@ r AS (SELECT p_partkey, b, upper(b) AS u, [CASE x WHEN 'I' THEN 1 WHEN 'V' THEN
   list_filter(string_split_regex(regexp_replace(lower(b), '[^a-z\\s\\-]', ' ', 'g'), '[\\s\\-]+'), lambda x: x <> '' AND x <> 'and') AS ws FROM t),
 m AS (SELECT MAP {{'zero': 0, 'one': 1, 'two': 2, 'three': 3, 'four': 4, 'five': 5, 'six': 6, 'seven': 7, 'eight': 8, 'nine': 9, 'ten': 10,
   'nineteen': 19, 'seventh': 7, 'twenty': 20, 'forty': 40, 'hundred': 100, 'thousand': 1000}} AS d),
-n AS (SELECT p_partkey, b, u, v, ws, [{{'t': 0, 'c': 0, 'k': d[w]}} FOR w IN ws] AS ks FROM r, m),
+n AS (SELECT p_partkey, b, u, v, ws, [{{'t': 0::DOUBLE, 'c': 0::DOUBLE, 'k': d[w]::DOUBLE}} FOR w IN ws] AS ks FROM r, m),
 f AS (SELECT p_partkey, b, u,
   list_sum([v[i] * CASE WHEN coalesce(list_max(v[i+1:]), 0) > v[i] THEN -1 ELSE 1 END FOR i IN range(1, len(v) + 1)]) AS roman,
   CASE WHEN len(ks) > 0 AND len(list_filter(ks, lambda x: x.k IS NULL)) = 0 THEN
     list_reduce(ks, lambda a, x: {{'t': CASE WHEN x.k = 1000 THEN a.t + (CASE WHEN a.c = 0 THEN 1 ELSE a.c END) * 1000 ELSE a.t END,
-      'c': CASE WHEN x.k = 1000 THEN 0 WHEN x.k = 100 THEN (CASE WHEN a.c = 0 THEN 1 ELSE a.c END) * 100 ELSE a.c + x.k END, 'k': 0}},
-      {{'t': 0, 'c': 0, 'k': 0}}) END AS words FROM n)
+      'c': CASE WHEN x.k = 1000 THEN 0 WHEN x.k = 100 THEN (CASE WHEN a.c = 0 THEN 1 ELSE a.c END) * 100 ELSE a.c + x.k END, 'k': 0::DOUBLE}},
+      {{'t': 0::DOUBLE, 'c': 0::DOUBLE, 'k': 0::DOUBLE}}) END AS words FROM n)
 SELECT p_partkey, c AS canonical, TRY_CAST(string_split(c, '.')[1] AS INTEGER) AS leading_number FROM (
  SELECT p_partkey, CASE WHEN b = '' THEN NULL WHEN regexp_matches(b, '^\\d+(\\.\\d+)*$') THEN b
-  WHEN regexp_matches(u, '^[IVXLCDM]+$') THEN CAST(roman AS VARCHAR) ELSE CAST(words.t + words.c AS VARCHAR) END AS c FROM f)"""
+  WHEN regexp_matches(u, '^[IVXLCDM]+$') THEN CAST(roman AS VARCHAR) WHEN words.t + words.c < 1e38 THEN CAST(CAST(words.t + words.c AS HUGEINT) AS VARCHAR) END AS c FROM f)"""
 
 
 @query("H4_number_token", H4_SQL)
@@ -88,9 +95,12 @@ def h5(spark, sf):
     return views.bank(spark, sf).select("question_id", text.stem_key(F.col("stem")).alias("stem_key"))
 
 
-@query("H6_content_hash", "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS content_hash FROM documents")
+SPACED = "CASE WHEN doc_id % 2 = 0 THEN concat(chr(160), ' ', text, chr(160), ' end', chr(160)) ELSE text END"
+
+
+@query("H6_content_hash", f"SELECT doc_id, sha256(trim(regexp_replace({SPACED}, '{numbers.SPACE}+', ' ', 'g'))) AS content_hash FROM documents")
 def h6(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    return table(spark, sf, "documents").select("doc_id", text.content_hash(F.expr(SPACED)).alias("content_hash"))
 
 
 MARKS = "(length({0}) - length(regexp_replace({0}, '[\\${{}}\\[\\]<>=\\\\_^*#]', '', 'g')))"

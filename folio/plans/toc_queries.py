@@ -133,7 +133,7 @@ xn AS (SELECT n.book_id, l.home_unit, n.unit_no, n.lesson_no, n.page_no, n.node_
   UNION ALL SELECT n.book_id, n.unit_no, n.unit_no, NULL, n.page_no, n.node_no, n.content_text, n.title, vu.number FROM ttl n JOIN vu ON vu.book_id = n.book_id AND vu.unit_no = n.unit_no WHERE n.lesson_no IS NULL),
 x1 AS (SELECT *, {CLEAN.format("string_split(content_text, chr(10))[1]")} AS fl, {CLEAN.format("coalesce(title, '')")} AS hd FROM xn),
 x2 AS (SELECT *, lower(fl) AS low, {CLEAN.format(f"CASE WHEN regexp_extract(fl, '{EX1}', 1) <> '' THEN regexp_extract(fl, '{EX1}', 1) ELSE regexp_extract(hd, '{EX1}', 1) END")} AS stated,
-  coalesce(regexp_matches(ch, '^\\d+$'), false) AS counted, string_split(left(content_text, 400), chr(10)) AS smp FROM x1),
+  coalesce(regexp_matches(ch, '^\\d+$'), false) AS counted, string_split(content_text, chr(10)) AS smp FROM x1),
 x3 AS (SELECT *, regexp_extract(stated, '(\\d+)(?:\\.(\\d+))?', 1) AS maj, regexp_extract(stated, '(\\d+)(?:\\.(\\d+))?', 2) AS mnr,
   list_filter([CASE WHEN regexp_extract(z, '{EXD}', 1) <> '' AND TRY_CAST(regexp_extract(z, '{EXD}', 2) AS INTEGER) <= 20 AND (NOT counted OR regexp_extract(z, '{EXD}', 1) = ch) THEN concat('Exercise ', regexp_extract(z, '{EXD}', 1), '.', regexp_extract(z, '{EXD}', 2))
     WHEN regexp_extract(z, '{EXS}', 1) <> '' AND (NOT counted OR abs(TRY_CAST(regexp_extract(z, '{EXS}', 1) AS INTEGER) - TRY_CAST(ch AS INTEGER)) <= 1) THEN concat('Exercise ', regexp_extract(z, '{EXS}', 1)) END FOR z IN smp], lambda q: q IS NOT NULL)[1] AS fromline FROM x2),

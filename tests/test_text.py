@@ -104,3 +104,13 @@ def test_metadata(spark):
     assert (e[0]["label"], e[0]["year"]) == ("First Edition 2024", 2024) and e[3]["year"] is None
     best = metadata.best_profile(metadata.profile_scores(F.lower("t")))
     assert [r[0]["code"] if r[0] else None for r in df.select(best).collect()][0] == "mathematics"
+
+
+def test_white_space_and_digits_of_all_scripts(spark):
+    assert one(spark, ["১২", "page 3 ", "3 - ৪", "x১"], text.is_page_number(F.col("v"))) == [True, True, True, False]
+    assert len(set(one(spark, ["a b", "a b", "  a  　b "], text.content_hash(F.col("v"))))) == 1
+
+
+def test_long_number_words_are_no_failure(spark):
+    got = one(spark, ["hundred-" * 5 + "hundred", "hundred-" * 30 + "hundred", "two hundred"], numbers.canonical_token(F.col("v")))
+    assert got == ["1000000000000", None, "200"]
