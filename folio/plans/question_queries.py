@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.operators import generation
 from folio.operators import questions as Q
 from folio.operators import similar
 from folio.plans import duck
@@ -127,17 +128,46 @@ OUTCOME = """CASE WHEN category IS NOT NULL THEN category WHEN seq % 31 = 0 THEN
 CATEGORIES = ", ".join(f"count_if(coalesce(outcome, 'unaccounted') = '{c}')::BIGINT AS {c}" for c in Q.OUTCOMES)
 
 
-@query("D8_rejection_accounting", f"""WITH {duck.CANDIDATES}, k AS (SELECT *, {ANSWER} AS ans, {STEM_KEY.format('stem')} AS stem_key FROM v_candidates),
-a AS (SELECT *, seq > min(seq) OVER (PARTITION BY job_id, stem_key) AS dup FROM k), c AS (SELECT job_id, round, seq, {RULES.replace('{dup}', 'dup')} AS category FROM a),
-o AS (SELECT job_id, round, {OUTCOME} AS outcome FROM c), s AS (SELECT job_id, round, count(*) AS candidates_returned, {CATEGORIES} FROM o GROUP BY ALL)
+EARLY = "(trim(stem) = '' OR NOT (length(trim(stem)) >= 8 AND length(regexp_replace(stem, '[^a-zA-Z]', '', 'g')) >= 4))"
+ALIKE = """(x.n = o.nums OR len(x.n) = 0 OR len(o.nums) = 0) AND len(list_intersect(x.w, o.words)) > 0
+    AND len(list_intersect(x.w, o.words)) >= 0.82::DOUBLE * (len(x.w) + len(o.words) - len(list_intersect(x.w, o.words)))"""
+GENERATED = f"""WITH RECURSIVE {duck.CANDIDATES}, k AS (SELECT *, {ANSWER} AS ans, {STEM_KEY.format('stem')} AS stem_key, {EARLY} AS early FROM v_candidates),
+dd AS (SELECT *, {RULES.replace('{dup}', 'false')} AS scat, regexp_extract_all(stem_key, '\\d+') AS nums, list_distinct(list_filter(string_split(stem_key, ' '), lambda x: length(x) > 1
+   AND x NOT IN ({", ".join(f"'{w}'" for w in similar.STOP_WORDS)}))) AS words FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM dd),
+sd AS (SELECT job_id, coalesce(list({{'k': stem_key, 'w': words, 'n': nums}}) FILTER (seq % 17 = 5), []) AS acc FROM dd GROUP BY 1),
+g AS (SELECT job_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS category, acc FROM sd
+  UNION ALL SELECT o.job_id, o.rn, o.seq, c.cat, CASE WHEN c.cat IS NULL THEN list_append(g.acc, {{'k': o.stem_key, 'w': o.words, 'n': o.nums}}) ELSE g.acc END
+  FROM g JOIN o ON o.job_id = g.job_id AND o.rn = g.rn + 1, LATERAL (SELECT CASE WHEN o.early THEN o.scat WHEN len(list_filter(g.acc, lambda x: x.k = o.stem_key)) > 0 THEN 'exact_question_duplicate_rejected'
+    WHEN len(list_filter(g.acc, lambda x: {ALIKE})) > 0 THEN 'near_duplicate_rejected' ELSE o.scat END AS cat) c),
+jd AS (SELECT o.*, g.category, CAST(substr(o.job_id, 5) AS BIGINT) AS j FROM g JOIN o ON o.job_id = g.job_id AND o.seq = g.seq),
+f AS (SELECT *, concat('w', (round - 1) % 3) AS window_id, (j % 4)::BIGINT AS n_windows, ((round - 1) % 3 + j % 3)::BIGINT AS quota, 12 + j % 30 AS requested FROM jd),
+q AS (SELECT *, CASE WHEN round <= n_windows AND n_windows > 1 THEN row_number() OVER (PARTITION BY job_id, window_id, category, round <= n_windows AND n_windows > 1 ORDER BY seq) <= greatest(1, quota) ELSE true END AS ok FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id, category, ok ORDER BY seq) AS place FROM q),
+oc AS (SELECT job_id, round, seq, question_id, CASE WHEN category IS NOT NULL THEN category WHEN ok AND place <= requested THEN 'final_accepted' ELSE 'surplus_not_needed' END AS outcome FROM r)"""
+
+
+def _generated(spark, sf):
+    cands = views.candidates(spark, sf).selectExpr(
+        "*", "concat('w', (round - 1) % 3) AS window_id", "(round - 1) % 3 + CAST(substr(job_id, 5) AS BIGINT) % 3 AS quota"
+    )
+    jobs = cands.select("job_id").distinct().selectExpr(
+        "job_id", "CAST(substr(job_id, 5) AS BIGINT) % 4 AS n_windows", "12 + CAST(substr(job_id, 5) AS BIGINT) % 30 AS requested"
+    )
+    # Seeds are some of the job's own stems, so that a candidate can meet them exactly and nearly.
+    seeds = cands.filter("seq % 17 = 5").select("job_id", "stem")
+    return generation.generation_outcomes(cands, seeds, jobs, _valid_chunks(), with_ratio=False)
+
+
+@query("generation_outcomes", f"{GENERATED} SELECT * FROM oc")
+def generated(spark, sf):
+    return _generated(spark, sf)
+
+
+@query("D8_rejection_accounting", f"""{GENERATED}, s AS (SELECT job_id, round, count(*) AS candidates_returned, {CATEGORIES} FROM oc GROUP BY ALL)
 SELECT *, {' + '.join(Q.REJECTIONS)} AS total_rejected, candidates_returned = final_accepted + surplus_not_needed + unaccounted + {' + '.join(Q.REJECTIONS)} AS balanced FROM s""")
 def d8(spark, sf):
-    cands = views.candidates(spark, sf)
-    firsts = Q.exact_first(cands, ["job_id"]).select("job_id", "seq", F.lit(False).alias("repeat"))
-    judged = cands.join(firsts, ["job_id", "seq"], "left").withColumn(
-        "category", Q.first_failure(_valid_chunks(), F.coalesce("repeat", F.lit(True)))
-    )
-    return Q.accounting(judged.withColumn("outcome", F.expr(OUTCOME)), ["job_id", "round"])
+    return Q.accounting(_generated(spark, sf), ["job_id", "round"])
 
 
 @query("D8_accounting_merge", f"""WITH {duck.CANDIDATES}, c AS (SELECT job_id, seq, CASE WHEN trim(stem) = '' THEN 'schema_rejected' END AS category FROM v_candidates),
