@@ -64,21 +64,24 @@ def upload_decisions(uploads: DataFrame, versions: DataFrame) -> DataFrame:
     """Duplicate, replacement of a failed copy, reuse of the latest deleted copy, or new.
 
     Versions are reduced to one row per checksum first, so a text stored many
-    times costs one join row.
+    times costs one join row. Of equal uploads the one with the smallest id gets the
+    stored text's decision; it is in work from then on, so the others are duplicates.
     """
+    first = uploads.groupBy("checksum").agg(F.min("upload_id").alias("first_id"))
     live = ~F.col("is_deleted")
     per = versions.groupBy("checksum").agg(
         F.max(live & F.col("ingestion_status").isin("COMPLETED", "PARTIAL", "PROCESSING")).alias("active"),
         F.max(live & (F.col("ingestion_status") == "FAILED")).alias("failed"),
         F.max_by("version_id", F.when(F.col("is_deleted"), F.col("created_seq"))).alias("deleted_id"),
     )
+    repeat = F.col("upload_id") > F.col("first_id")
     decision = (
-        F.when(F.col("active"), "DUPLICATE").when(F.col("failed"), "REPLACE_FAILED")
+        F.when(F.col("active") | repeat, "DUPLICATE").when(F.col("failed"), "REPLACE_FAILED")
         .when(F.col("deleted_id").isNotNull(), "REUSE_DELETED").otherwise("NEW")
     )
-    return uploads.join(per, "checksum", "left").select(
+    return uploads.join(first, "checksum").join(per, "checksum", "left").select(
         "upload_id", decision.alias("decision"),
-        F.when(~F.coalesce("active", F.lit(False)), F.col("deleted_id")).alias("reused_version"),
+        F.when(~F.coalesce("active", F.lit(False)) & ~repeat, F.col("deleted_id")).alias("reused_version"), "checksum",
     )
 
 

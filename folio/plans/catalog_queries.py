@@ -102,13 +102,13 @@ def d6(spark, sf):
     return C.grade_counts(_grades(spark, sf), ready).select("grade_id", "code", "textbook_count")
 
 
-@query("C6_upload_decision", f"""WITH {duck.VERSIONS}, v AS (SELECT * FROM v_versions WHERE version_id % 3 <> 0), up AS (SELECT version_id AS upload_id, checksum FROM v_versions WHERE version_id % 2 = 0),
+@query("C6_upload_decision", f"""WITH {duck.VERSIONS}, v AS (SELECT * FROM v_versions WHERE version_id % 3 <> 0), up AS (SELECT version_id AS upload_id, checksum, row_number() OVER (PARTITION BY checksum ORDER BY version_id) > 1 AS rep FROM v_versions WHERE version_id % 2 = 0),
 p AS (SELECT checksum, bool_or(NOT is_deleted AND ingestion_status IN ('COMPLETED', 'PARTIAL', 'PROCESSING')) AS a, bool_or(NOT is_deleted AND ingestion_status = 'FAILED') AS f, arg_max(CASE WHEN is_deleted THEN version_id END, CASE WHEN is_deleted THEN created_seq END) AS d FROM v GROUP BY 1)
-SELECT upload_id, CASE WHEN a THEN 'DUPLICATE' WHEN f THEN 'REPLACE_FAILED' WHEN d IS NOT NULL THEN 'REUSE_DELETED' ELSE 'NEW' END AS decision, CASE WHEN NOT coalesce(a, false) THEN d END AS reused_version FROM up LEFT JOIN p USING (checksum)""")
+SELECT upload_id, CASE WHEN a OR rep THEN 'DUPLICATE' WHEN f THEN 'REPLACE_FAILED' WHEN d IS NOT NULL THEN 'REUSE_DELETED' ELSE 'NEW' END AS decision, CASE WHEN NOT coalesce(a, false) AND NOT rep THEN d END AS reused_version FROM up LEFT JOIN p USING (checksum)""")
 def c6(spark, sf):
     v = views.versions(spark, sf).select("version_id", "checksum", "is_deleted", "ingestion_status", "created_seq")
     uploads = v.filter("version_id % 2 = 0").select(F.col("version_id").alias("upload_id"), "checksum")
-    return C.upload_decisions(uploads, v.filter("version_id % 3 <> 0"))
+    return C.upload_decisions(uploads, v.filter("version_id % 3 <> 0")).drop("checksum")
 
 
 @query("C16_grade_backfill", f"""WITH {duck.VERSIONS}, {DIMS}, o AS (SELECT version_id, lower(concat_ws(' ', title, source_filename)) AS t, CASE WHEN version_id % 11 = 0 THEN concat('CLASS-', version_id % 14) END AS dc,

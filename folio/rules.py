@@ -136,14 +136,18 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
 
 
 def load_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Subject profiles file (a JSON list) as a table in file order; an empty or malformed file is an error."""
-    rows = (
-        spark.read.schema(PROFILE_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-        .filter("code is not null and name is not null and domain is not null")
-        .collect()
-    )
+    """Subject profiles file as a table in file order: a JSON list, or an object with a list `profiles`.
+
+    An empty file and an entry without code, name or domain are errors. A configuration file is small,
+    so it may come to the driver.
+    """
+    both = f"{PROFILE_SCHEMA}, profiles array<struct<{', '.join(c.replace(' ', ':', 1) for c in PROFILE_SCHEMA.split(', '))}>>"
+    found = spark.read.schema(both).option("multiLine", True).option("mode", "FAILFAST").json(path).collect()
+    rows = [p for r in found for p in (r["profiles"] if r["profiles"] is not None else [r])]
     if not rows:
         raise ValueError("profiles file must hold at least one profile")
+    if any(r is None or not (r["code"] and r["name"] and r["domain"]) for r in rows):
+        raise ValueError("a profile needs code, name and domain")
     return profiles_frame(spark, tuple(
         Profile(r["code"], r["name"], r["domain"], tuple(r["aliases"] or ()), tuple(r["title_patterns"] or ()),
                 tuple(r["keywords"] or ()), tuple(r["negative_keywords"] or ()))

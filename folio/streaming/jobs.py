@@ -143,11 +143,21 @@ def provider_health(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
 def continuous_ingest(uploads: DataFrame, catalogue_path: str, decisions_path: str, checkpoint: str):
     """K4: every arriving batch of uploads is checked against the stored catalogue (C6) and its decisions appended.
 
-    The batch id is part of the output path, so a replayed batch overwrites
-    itself instead of being counted twice.
+    What earlier batches accepted is part of the catalogue, as versions in work. The batch id is
+    part of the output path and a batch reads only the decisions of smaller ids, so a
+    replayed batch overwrites itself and decides as before.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        versions = df.sparkSession.read.parquet(catalogue_path)
+        spark = df.sparkSession
+        columns = ["version_id", "checksum", "is_deleted", "ingestion_status", "created_seq"]
+        versions = spark.read.parquet(catalogue_path).select(*columns)
+        if batch_id:
+            past = spark.read.schema("upload_id bigint, decision string, reused_version bigint, checksum string, batch bigint").parquet(decisions_path)
+            accepted = past.filter((F.col("batch") < batch_id) & (F.col("decision") != "DUPLICATE"))
+            versions = versions.unionByName(accepted.select(
+                F.col("upload_id").alias("version_id"), "checksum", F.lit(False).alias("is_deleted"), F.lit("PROCESSING").alias("ingestion_status"),
+                F.lit(None).cast("bigint").alias("created_seq"),
+            ))
         upload_decisions(df, versions).write.mode("overwrite").parquet(f"{decisions_path}/batch={batch_id}")
 
     return uploads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

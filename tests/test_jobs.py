@@ -35,6 +35,11 @@ def test_rules_and_profiles_files(spark, tmp_path):
         load_profiles(spark, str(tmp_path / "none.json"))
     (tmp_path / "p.json").write_text('[{"code": "bio", "name": "Biology", "domain": "STEM", "keywords": ["cell"]}]')
     assert [r["code"] for r in load_profiles(spark, str(tmp_path / "p.json")).collect()] == ["bio"]
+    (tmp_path / "o.json").write_text('{"profiles": [{"code": "bio", "name": "Biology", "domain": "STEM"}, {"code": "geo", "name": "Geography", "domain": "ARTS"}]}')
+    assert [r["code"] for r in load_profiles(spark, str(tmp_path / "o.json")).collect()] == ["bio", "geo"]
+    (tmp_path / "m.json").write_text('[{"code": "bio", "name": "Biology", "domain": "STEM"}, {"name": "No code", "domain": "STEM"}]')
+    with pytest.raises(ValueError):
+        load_profiles(spark, str(tmp_path / "m.json"))
     assert profiles_frame(spark, (*PROFILES, PROFILES[0])).count() == len(PROFILES)
 
 
@@ -141,3 +146,14 @@ def test_idle_jobs_expire(spark, tmp_path):
     stream = stream_of(spark, tmp_path, batches, "ts timestamp, job_id long, kind string")
     got = sorted((r["job_id"], r["accepted"], r["last_ts"], r["status"]) for r in jobs.run_to_table(jobs.expired_jobs(stream), "t").collect())
     assert got == [(1, 2, at(5), "expired")]
+
+
+def test_continuous_ingest_remembers_what_it_accepted(spark, tmp_path):
+    stored = [(1, "a", False, "COMPLETED", 1), (2, "b", False, "FAILED", 2), (3, "c", True, "COMPLETED", 3)]
+    spark.createDataFrame(stored, "version_id long, checksum string, is_deleted boolean, ingestion_status string, created_seq long").write.parquet(str(tmp_path / "cat"))
+    batches = [[(10, "a"), (11, "b"), (12, "b"), (13, "n")], [(14, "n"), (15, "c"), (16, "b"), (17, "c")], [(18, "c"), (19, "m")]]
+    uploads = stream_of(spark, tmp_path, batches, "upload_id long, checksum string")
+    jobs.continuous_ingest(uploads, str(tmp_path / "cat"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r["upload_id"]: (r["decision"], r["reused_version"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    new, again = ("NEW", None), ("DUPLICATE", None)
+    assert got == {10: again, 11: ("REPLACE_FAILED", None), 12: again, 13: new, 14: again, 15: ("REUSE_DELETED", 3), 16: again, 17: again, 18: again, 19: new}
