@@ -280,34 +280,3 @@ def _independent(live: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
             "edges",
         )
     return live.join(accepted, ids, "left_semi")
-
-
-def brute_force_pairs(rows: list[tuple[int, str]], with_ratio: bool = True) -> set[tuple[int, int]]:
-    """All near pairs of a handful of normalised stems, for tests."""
-    out = set()
-    for i, (later, a) in enumerate(rows):
-        for early, b in rows[:i]:
-            if a == b:
-                out.add((later, early))
-                continue
-            na, nb = [[t for t in _digits(x)] for x in (a, b)]
-            if na and nb and na != nb:
-                continue
-            wa, wb = [{w for w in x.split() if w not in STOP_WORDS and len(w) > 1} for x in (a, b)]
-            if wa and wb and len(wa & wb) / len(wa | wb) >= JACCARD:
-                out.add((later, early))
-            elif with_ratio and difflib.SequenceMatcher(None, a, b).ratio() >= RATIO:
-                out.add((later, early))
-    return out
-
-
-def _digits(text: str) -> list[str]:
-    runs, run = [], ""
-    for ch in text + " ":
-        if ch.isdigit():
-            run += ch
-        elif run:
-            runs.append(run)
-            run = ""
-    return runs
-

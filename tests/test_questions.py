@@ -1,11 +1,12 @@
 """Candidates, near duplicates, acceptance, bank and papers."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
 
 from folio.functions.text import stem_key
-from folio.operators import bank, coverage, papers, questions, similar
+from folio.operators import bank, coverage, generation, papers, questions, similar
 
 WORDS = "plant energy light water root leaf stem cell grow sun store sugar gas air green food move small large chain".split()
 
@@ -31,6 +32,36 @@ def stems(seed, n):
     return out
 
 
+def brute_force_pairs(rows: list[tuple[int, str]], with_ratio: bool = True) -> set[tuple[int, int]]:
+    """All near pairs of a handful of normalised stems."""
+    out = set()
+    for i, (later, a) in enumerate(rows):
+        for early, b in rows[:i]:
+            if a == b:
+                out.add((later, early))
+                continue
+            na, nb = [[t for t in digits(x)] for x in (a, b)]
+            if na and nb and na != nb:
+                continue
+            wa, wb = [{w for w in x.split() if w not in similar.STOP_WORDS and len(w) > 1} for x in (a, b)]
+            if wa and wb and len(wa & wb) / len(wa | wb) >= similar.JACCARD:
+                out.add((later, early))
+            elif with_ratio and difflib.SequenceMatcher(None, a, b).ratio() >= similar.RATIO:
+                out.add((later, early))
+    return out
+
+
+def digits(text: str) -> list[str]:
+    runs, run = [], ""
+    for ch in text + " ":
+        if ch.isdigit():
+            run += ch
+        elif run:
+            runs.append(run)
+            run = ""
+    return runs
+
+
 def test_pairs_equal_brute_force(spark):
     rows = stems(3, 160)
     df = spark.createDataFrame(rows, "seq long, stem string")
@@ -40,7 +71,7 @@ def test_pairs_equal_brute_force(spark):
         for seq, k in keyed:
             firsts.setdefault(k, seq)
         distinct = sorted((s, k) for k, s in firsts.items())
-        want = similar.brute_force_pairs(distinct, with_ratio)
+        want = brute_force_pairs(distinct, with_ratio)
         described = similar.describe(similar.distinct_stems(df, []), [], with_ratio)
         got = {(r["later_seq"], r["early_seq"]) for r in similar.matches(described, described, [], True, with_ratio).collect()}
         assert len(want) > 12
@@ -50,7 +81,7 @@ def test_pairs_equal_brute_force(spark):
 def greedy(rows):
     kept = []
     for seq, k in rows:
-        pairs = similar.brute_force_pairs([*kept, (seq, k)])
+        pairs = brute_force_pairs([*kept, (seq, k)])
         if not any(a == seq for a, _ in pairs):
             kept.append((seq, k))
     return [s for s, _ in kept]
@@ -163,3 +194,34 @@ def test_saving_twice_reuses(spark):
     assert [r["is_created"] for r in first] == [True, False] and len({r["bank_id"] for r in first}) == 1
     stored = hashed.limit(1).select("version_id", "content_hash", F.lit("B1").alias("question_id"))
     assert {(r["bank_id"], r["is_created"]) for r in bank.save_generated(hashed, stored).collect()} == {("B1", False)}
+
+
+def test_outcomes_equal_loop(spark):
+    """Rules, seeds, near duplicates by both tests, quota: against a loop over the candidates."""
+    rows, seeds = stems(21, 90), stems(22, 12)
+    good = [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    frame = spark.createDataFrame(
+        [("j", 1 + i // 30, i, f"q{i}", s, good[: 3 + (i % 7 > 0)], "a", "why", ["S1"], "w", 9) for i, s in rows],
+        "job_id string, round long, seq long, question_id string, stem string, options array<struct<id:string,text:string>>, correct_option_id string, "
+        "explanation string, source_chunk_ids array<string>, window_id string, quota long",
+    )
+    prior = spark.createDataFrame([("j", s) for _, s in seeds], "job_id string, stem string")
+    jobs = spark.createDataFrame([("j", 1, 15)], "job_id string, n_windows long, requested long")
+    chunks = F.array(F.lit("S1"))
+    key = {r["stem"]: r["k"] for r in frame.select("stem").union(prior.select("stem")).distinct().select("stem", stem_key(F.col("stem")).alias("k")).collect()}
+    plain = {r["seq"]: r["c"] for r in frame.select("seq", questions.first_failure(chunks).alias("c")).collect()}
+    kept, want, taken = [key[s] for _, s in seeds], {}, 0
+    for i, s in rows:
+        k, verdict = key[s], plain[i]
+        early = verdict == "schema_rejected" or (verdict == "other_rejected")
+        if not early and k in kept:
+            verdict = "exact_question_duplicate_rejected"
+        elif not early and any(a == len(kept) for a, _ in brute_force_pairs([*enumerate(kept), (len(kept), k)])):
+            verdict = "near_duplicate_rejected"
+        if verdict is None:
+            kept.append(k)
+            taken += 1
+            verdict = "final_accepted" if taken <= 15 else "surplus_not_needed"
+        want[i] = verdict
+    got = {r["seq"]: r["outcome"] for r in generation.generation_outcomes(frame, prior, jobs, chunks).collect()}
+    assert got == want and {"near_duplicate_rejected", "invalid_option_count", "final_accepted"} <= set(want.values())
