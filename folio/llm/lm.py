@@ -40,6 +40,8 @@ BATCH = 4096
 RATE = 0.1
 SAMPLE = 2000
 SEED = 42
+#: Words that are turned into arrays at once.
+CHUNK = 1 << 18
 #: Entries of a worker's caches and of a partial count; more are handed on or looked up again.
 CACHE = 500_000
 
@@ -204,11 +206,13 @@ def _trained(texts: DataFrame, start: Model, frequent: dict[bytes, int]) -> Data
         symbols = Symbols(known)
         for part in parts:
             held: list[list[int]] = []
+            size = 0
             for text in part.column(0):
                 held.append(list(map(symbols.__getitem__, words_of(text.as_py()))))
-                if sum(map(len, held[-1:])) + len(held) > 1 << 16 or len(held) >= 2000:
+                size += len(held[-1])
+                if size > CHUNK:
                     trainer.learn(sequence(held))
-                    held = []
+                    held, size = [], 0
             if held:
                 trainer.learn(sequence(held))
         if trainer.tokens:
@@ -251,25 +255,24 @@ def _scored(docs: DataFrame, model: Model, head: dict[bytes, int], frequent: dic
         first, second = (m.inputs @ p for p in m.places)
         symbols = Symbols(known)
         log_count = {w: float(np.log10(c + 1)) for w, c in counted.items()}
+
+        def model_scores(texts: list[list[int]]) -> np.ndarray:
+            """log10 of the symbols' probabilities, less that of a class's size, summed over each text."""
+            s = sequence(texts)
+            at = np.flatnonzero(s != START)
+            total = np.empty(len(at))
+            for k in range(0, len(at), 1 << 16):
+                a = at[k : k + (1 << 16)]
+                t, b1, b2 = s[a], s[a - 1], s[a - 2]
+                energy = ((first[b1] + second[b2]) * m.outputs[t]).sum(axis=1) + m.bias[t]
+                total[k : k + (1 << 16)] = (energy.astype(float) - z[b1, b2]) / np.log(10) - logs[t]
+            sizes = np.array([len(x) + 1 for x in texts])
+            return np.add.reduceat(total, np.cumsum(sizes) - sizes)
+
         for part in parts:
             rows: dict[str, list] = {n: [] for n in names}
+            own: list[float] = []
             held: list[list[int]] = []
-
-            def flush() -> None:
-                if not held:
-                    return
-                s = sequence(held)
-                at = np.flatnonzero(s != START)
-                total = np.empty(len(at))
-                for k in range(0, len(at), 1 << 16):
-                    a = at[k : k + (1 << 16)]
-                    t, b1, b2 = s[a], s[a - 1], s[a - 2]
-                    energy = ((first[b1] + second[b2]) * m.outputs[t]).sum(axis=1) + m.bias[t]
-                    total[k : k + (1 << 16)] = (energy.astype(float) - z[b1, b2]) / np.log(10) - logs[t]
-                sizes = np.array([len(x) + 1 for x in held])
-                rows["score"] += np.add.reduceat(total, np.cumsum(sizes) - sizes).tolist()
-                held.clear()
-
             size = 0
             for row_id, doc_id, out, text in zip(*(part.column(i).to_pylist() for i in range(3)), part.column(3)):
                 words = words_of(text.as_py())
@@ -287,12 +290,13 @@ def _scored(docs: DataFrame, model: Model, head: dict[bytes, int], frequent: dic
                 held.append(list(map(symbols.__getitem__, words)))
                 size += len(words)
                 # Words of a class also owe the logs of their own counts; those in the head are known here.
-                rows.setdefault("own", []).append(sum(x for w, x in zip(words, logs_of) if x is not None and w not in known))
-                if size > 1 << 18:
-                    flush()
-                    size = 0
-            flush()
-            rows["score"] = [a + b for a, b in zip(rows["score"], rows.pop("own", []))]
+                own.append(sum(x for w, x in zip(words, logs_of) if x is not None and w not in known))
+                if size > CHUNK:
+                    rows["score"] += model_scores(held).tolist()
+                    held, size = [], 0
+            if held:
+                rows["score"] += model_scores(held).tolist()
+            rows["score"] = [a + b for a, b in zip(rows["score"], own)]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds)], names)
 
