@@ -38,6 +38,30 @@ def save_generated(hashed: DataFrame, stored: DataFrame, keys: Sequence[str] = (
     )
 
 
+def saved_rows(saved: DataFrame, requested: DataFrame, cited: DataFrame) -> DataFrame:
+    """Everything one save writes, as (kind, bank_id, key, value).
+
+    'question' (content hash, stem), 'option' (place, text) and 'answer' (place of the right option) rows of
+    created questions, 'scope' rows of all of them (requested and cited, each once), and one 'count'
+    row a version for what was created and what was reused.
+    """
+    new = saved.filter("is_created")
+    text = F.lit(None).cast("string")
+    questions = new.select(F.lit("question").alias("kind"), "bank_id", F.col("content_hash").alias("key"), F.col("stem").alias("value"))
+    placed = new.select("bank_id", "correct_option_id", F.posexplode("options").alias("i", "o"))
+    place = (F.col("i") + 1).cast("string")
+    options = placed.select(F.lit("option"), "bank_id", place, F.col("o.text"))
+    answers = placed.filter(F.col("o.id") == F.col("correct_option_id")).select(F.lit("answer"), "bank_id", place, text)
+    homes = scope_links(requested, cited).join(saved.select("question_id", "bank_id"), "question_id")
+    scopes = homes.select(F.lit("scope"), "bank_id", "node_id", text).distinct()
+    sums = saved.groupBy("version_id").agg(F.count_if("is_created").alias("created"), F.count_if(~F.col("is_created")).alias("reused"))
+    counts = sums.select(
+        F.lit("count"), "version_id",
+        F.explode(F.create_map(F.lit("created"), F.col("created").cast("string"), F.lit("reused"), F.col("reused").cast("string"))),
+    )
+    return questions.union(options).union(answers).union(scopes).union(counts)
+
+
 def option_map(saved: DataFrame, stored_options: DataFrame) -> DataFrame:
     """The i-th generated option to the i-th stored option; new questions number their own options."""
     pos = saved.select("question_id", "bank_id", F.posexplode("options").alias("i", "o"))

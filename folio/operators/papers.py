@@ -109,6 +109,24 @@ def save_papers(papers: DataFrame, items: DataFrame, questions: DataFrame, optio
     )
 
 
+def paper_rows(papers: DataFrame, items: DataFrame, questions: DataFrame, options: DataFrame, homes: DataFrame) -> DataFrame:
+    """Child rows of the papers that pass every check: items with their option snapshot, and scopes.
+
+    Returns set_id, kind, place, key, value, marks: 'item' (question id, option ids as arranged) and 'scope'
+    (node of a question on the paper, each once). Ids are bank ids already (C13).
+    """
+    good = paper_verdicts(papers, violations(papers, items, questions, options)).filter("verdict = 'VALID'").select("set_id", "marks_per_question")
+    kept = items.join(good, "set_id")
+    marks = F.coalesce(F.col("marks_per_question"), F.lit(1)).cast("double")
+    rows = kept.select(
+        "set_id", F.lit("item").alias("kind"), F.col("question_order").alias("place"), F.col("question_id").cast("string").alias("key"),
+        F.array_join("option_order", ",").alias("value"), marks.alias("marks"),
+    )
+    scopes = kept.select("set_id", "question_id").join(homes, "question_id").select("set_id", "node_id").distinct()
+    none = [F.lit(None).cast(t) for t in ("bigint", "string", "double")]
+    return rows.union(scopes.select("set_id", F.lit("scope"), none[0], "node_id", none[1], none[2]))
+
+
 def rebuild(items: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
     """Each paper question with options in snapshot order, labels and key, one row per question.
 

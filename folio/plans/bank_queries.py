@@ -41,6 +41,21 @@ def j5(spark, sf):
     return _saved(spark, sf)[0].select("question_id", "bank_id", "is_created")
 
 
+@query("J5_saved_rows", f"""WITH {SAVED}, n AS (SELECT * FROM sv WHERE is_created)
+SELECT 'question' AS kind, bank_id, content_hash AS key, stem AS value FROM n
+UNION ALL SELECT 'option', bank_id, CAST(i AS VARCHAR), options[i].text FROM n, (SELECT unnest([1, 2, 3, 4]) AS i)
+UNION ALL SELECT 'answer', bank_id, CAST(i AS VARCHAR), NULL FROM n, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE options[i].id = correct_option_id
+UNION ALL SELECT DISTINCT 'scope', bank_id, node_id, NULL FROM (SELECT bank_id, concat('n', seq % 25) AS node_id FROM sv UNION ALL SELECT bank_id, concat('n', seq % 7) FROM sv WHERE seq % 3 = 1)
+UNION ALL SELECT 'count', version_id, 'created', CAST(count_if(is_created) AS VARCHAR) FROM sv GROUP BY version_id
+UNION ALL SELECT 'count', version_id, 'reused', CAST(count_if(NOT is_created) AS VARCHAR) FROM sv GROUP BY version_id""")
+def j5_rows(spark, sf):
+    saved = _saved(spark, sf)[0]
+    cands = views.candidates(spark, sf)
+    asked = cands.selectExpr("question_id", "concat('n', seq % 25) AS node_id")
+    cited = cands.filter("seq % 3 = 1").selectExpr("question_id", "concat('n', seq % 7) AS node_id")
+    return B.saved_rows(saved, asked, cited)
+
+
 @query("C7_bank_existence", f"WITH {SAVED} SELECT version_id, count_if(is_created)::BIGINT AS new_saved, count_if(NOT is_created)::BIGINT AS reused FROM sv GROUP BY 1")
 def c7(spark, sf):
     saved = _saved(spark, sf)[0]
@@ -179,6 +194,14 @@ def j6(spark, sf):
     return papers.save_papers(*_paper_inputs(spark, sf))
 
 
+@query("J6_paper_rows", f"""WITH {CHECKED}, ok AS (SELECT set_id, marks_per_question FROM vd WHERE verdict = 'VALID'), it AS (SELECT i.*, marks_per_question FROM v_paper_items i JOIN ok USING (set_id))
+SELECT set_id, 'item' AS kind, question_order AS place, CAST(question_id AS VARCHAR) AS key, array_to_string(option_order, ',') AS value, coalesce(marks_per_question, 1)::DOUBLE AS marks FROM it
+UNION ALL SELECT DISTINCT set_id, 'scope', NULL::BIGINT, concat('n', question_id % 25), NULL, NULL::DOUBLE FROM it""")
+def j6_rows(spark, sf):
+    homes = views.questions(spark, sf).selectExpr("question_id", "concat('n', question_id % 25) AS node_id")
+    return papers.paper_rows(*_paper_inputs(spark, sf), homes)
+
+
 @query("D13_total_marks", f"""WITH {duck.PAPERS}, n AS (SELECT set_id, count(*) AS n FROM v_paper_items GROUP BY 1)
 SELECT set_id, coalesce(given_marks, n * marks_per_question) AS total_marks FROM v_papers JOIN n USING (set_id)""")
 def d13(spark, sf):
