@@ -16,6 +16,8 @@ left, so what each pool wastes does not add up with the size of the collection.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,42 +34,61 @@ END_ID = 0
 POOL = 2048
 TOKENIZER = "byte_bpe_50k"
 #: Entries of a worker's word cache; it is emptied when full, which changes speed only.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class Encoder:
     """Ids of whole texts, by words.
 
     The vocabulary's pattern never joins what stands before a single space to what
-    stands after it, so a text is cut at its single spaces and each word is encoded once per
-    worker. Words of Latin letters and ASCII go to the fast encoder of the same
+    stands after it, nor a letter to a punctuation mark other than an apostrophe. So a text is cut at its
+    single spaces, a word loses the marks at its end, and each word and each run of marks is
+    encoded once per worker. Words of Latin letters and ASCII go to the fast encoder of the same
     vocabulary; all others, and those with the text of a special token, to the
     tokenizer itself.
     """
 
+    #: Marks that a word can lose.
+    MARKS = ".,;:!?&%$#*|)]}\"-"
+
     def __init__(self, name: str = TOKENIZER) -> None:
         import base64
-        import re
 
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single_space = re.compile(r"(?<=\S) (?=\S)")
+        self.latin = re.compile("[\0-\x7fÀ-ÖØ-öø-ɏ]*")
         self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, word: str) -> bytes:
-        plain = all(c.isascii() or (c <= "ɏ" and c.isalpha()) for c in word)
-        if plain and not any(s in word for s in self.specials):
+        if self.latin.fullmatch(word) and not self.special.search(word):
             ids = self.fast.encode_ordinary(word)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, word: str) -> None:
+        """Put a word that stands after a space into the cache."""
+        core = word.rstrip(self.MARKS)
+        if core and core != word and core[-1].isalpha() and not self.special.search(word):
+            marks = word[len(core) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._encode(marks)
+            ids = self.cache.get(core)
+            if ids is None:
+                ids = self.cache[core] = self._encode(" " + core)
+            self.cache[word] = ids + self.marks[marks]
+        else:
+            self.cache[word] = self._encode(" " + word)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of `text`."""
@@ -82,9 +103,10 @@ class Encoder:
             edge = [w for w in rest[-1:] if w[-1].isspace()]  # white space at the end of the text is no word's property
             if len(self.cache) > CACHE:
                 self.cache.clear()
+                self.marks.clear()
                 missing = set(rest)
             for w in missing.difference(edge):
-                self.cache[w] = self._encode(" " + w)
+                self._learn(w)
             known = [self.cache[w] for w in rest[: len(rest) - len(edge)]] + [self._encode(" " + w) for w in edge]
         return self._encode(first) + b"".join(known) if first else b"".join(known)
 
