@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from string import ascii_lowercase
+from string import digits as digits_0_9
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,6 +76,8 @@ def _gram_prefix(n: Column, q: int) -> Column:
 
 # Up to this length a text may share no triple with its match and is looked up by single characters as well.
 SHORT = 10
+# Characters counted one by one for the bound on the ratio.
+LETTERS = ascii_lowercase + digits_0_9
 # Elements whose frequency is looked up; beyond them all are rare enough to be ordered by their hash.
 FREQUENT = 10_000
 
@@ -118,31 +122,45 @@ def _digit_keys(side: str) -> Column:
 
 
 def _blocks(described: DataFrame, keys: list[str], side: str) -> DataFrame:
-    return described.select(
-        *keys, F.col("seq").alias(f"{side}_seq"), F.col("stem_key").alias(f"{side}_key"), F.col("words").alias(f"{side}_words"),
-        F.col("look").alias(f"{side}_look"), F.explode("look").alias("e"), _digit_keys(side).alias("dk"),
-    ).withColumn("dk", F.explode("dk"))
+    """Look-up rows: identifiers, the list of elements, and one element with one digit key; no texts."""
+    rows = described.select(
+        *keys, F.col("seq").alias(f"{side}_seq"), F.col("look").alias(f"{side}_look"), F.explode("look").alias("e"), _digit_keys(side).alias("dk"),
+    )
+    return rows.withColumn("dk", F.explode("dk"))
+
+
+def _costs(later: DataFrame, early: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dk, by_element, by_digits): rows that pairing a digit key by elements, or by the digits alone, would make."""
+    group = [*keys, "dk"]
+
+    def sizes(df: DataFrame, on: list[str], name: str) -> DataFrame:
+        return df.groupBy(*on).agg(F.count("*").alias(name))
+
+    elements = sizes(_blocks(later, keys, "later"), [*group, "e"], "a").join(sizes(_blocks(early, keys, "early"), [*group, "e"], "b"), [*group, "e"])
+    by_element = elements.groupBy(*group).agg(F.sum(F.col("a") * F.col("b")).alias("by_element"))
+    digits = F.concat(F.lit("="), "nums").alias("dk")
+    some = [df.filter("nums <> ''").select(*keys, digits) for df in (later, early)]
+    by_digits = sizes(some[0], group, "a").join(sizes(some[1], group, "b"), group).select(*group, (F.col("a") * F.col("b")).alias("by_digits"))
+    return by_element.join(by_digits, group, "left")
 
 
 def pair_budget(described: DataFrame, keys: list[str]) -> DataFrame:
     """Upper bound on the pairs a self-join of the stems would look at."""
-    later = _blocks(described, keys, "later").groupBy(*keys, "e", "dk").agg(F.count("*").alias("a"))
-    early = _blocks(described, keys, "early").groupBy(*keys, "e", "dk").agg(F.count("*").alias("b"))
-    return later.join(early, [*keys, "e", "dk"]).agg(F.sum(F.col("a") * F.col("b")).alias("pairs"))
+    return _costs(described, described, keys).agg(F.sum(F.least("by_element", "by_digits")).alias("pairs"))
 
 
 @F.pandas_udf(T.BooleanType())
 def ratio_reached(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether the standard matcher finds the texts alike; later text first, as its result depends on order."""
     for later, early in parts:
-        out = []
-        for a, b in zip(later, early):
-            if 2 * min(len(a), len(b)) < RATIO * (len(a) + len(b)):
-                out.append(False)
-                continue
-            m = difflib.SequenceMatcher(None, a, b)
-            out.append(m.quick_ratio() >= RATIO and m.ratio() >= RATIO)
-        yield pd.Series(out, dtype="bool")
+        yield pd.Series([difflib.SequenceMatcher(None, a, b).ratio() >= RATIO for a, b in zip(later, early)], dtype="bool")
+
+
+def letter_counts(key: Column) -> Column:
+    """How often each letter of the Latin alphabet, each digit and all else occur."""
+    size = F.length(key)
+    single = [size - F.length(F.replace(key, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*single, size - sum(single, F.lit(0)))
 
 
 def matches(
@@ -150,26 +168,40 @@ def matches(
 ) -> DataFrame:
     """(later_seq, early_seq) of near duplicates between two sets of described stems.
 
-    `ordered` keeps only pairs whose early side comes first (a self-join).
+    Stems with equal digits are paired either by common elements or by their digits alone, whichever makes
+    fewer rows for that digit key; both look at every pair that can match. Look-up rows
+    hold identifiers only; texts join the pairs that are left, and only those whose lengths and letter
+    counts allow the ratio reach the matcher. `ordered` keeps only pairs whose early side comes first (a self-join).
     """
-    a, b = _blocks(later, keys, "later"), _blocks(early, keys, "early")
-    joined = a.join(b, [*keys, "e", "dk"])
-    if ordered:
-        joined = joined.filter(F.col("early_seq") < F.col("later_seq"))
+    group = [*keys, "dk"]
+    direct = cut(_costs(later, early, keys).filter("by_digits <= by_element").select(*group), "direct")
+    in_order = F.col("early_seq") < F.col("later_seq") if ordered else F.lit(True)
+
+    a = _blocks(later, keys, "later").join(direct, group, "left_anti")
+    joined = a.join(_blocks(early, keys, "early"), [*group, "e"]).filter(in_order)
     once = F.array_min(F.array_intersect("later_look", "early_look")) == F.col("e")
+    by_element = joined.filter(once).select(*keys, "later_seq", "early_seq")
+    digits = F.concat(F.lit("="), "nums").alias("dk")
+    x = later.select(*keys, F.col("seq").alias("later_seq"), digits).join(direct, group, "left_semi")
+    by_digits = x.join(early.select(*keys, F.col("seq").alias("early_seq"), digits), group).filter(in_order).select(*keys, "later_seq", "early_seq")
+
+    pairs = by_element.union(by_digits)
+    for side, df in (("later", later), ("early", early)):
+        texts = df.select(*keys, F.col("seq").alias(f"{side}_seq"), F.col("stem_key").alias(f"{side}_key"), F.col("words").alias(f"{side}_words"))
+        pairs = pairs.join(texts, [*keys, f"{side}_seq"])
     common = F.size(F.array_intersect("later_words", "early_words"))
     overlap = F.try_divide(common.cast("double"), (F.size("later_words") + F.size("early_words") - common).cast("double"))
-    pairs = joined.filter(once).select(
-        *keys, "later_seq", "early_seq", "later_key", "early_key", F.coalesce(overlap >= JACCARD, F.lit(False)).alias("by_words")
-    )
-    by_words = pairs.filter("by_words").select(*keys, "later_seq", "early_seq")
+    judged = pairs.withColumn("by_words", F.coalesce(overlap >= JACCARD, F.lit(False)))
+    ids = [*keys, "later_seq", "early_seq"]
     if not with_ratio:
-        return by_words
+        return judged.filter("by_words").select(*ids)
     la, lb = F.length("later_key"), F.length("early_key")
-    near_length = 2 * F.least(la, lb) >= RATIO * (la + lb) - 1e-9
-    rest = pairs.filter(~F.col("by_words") & near_length)
-    by_ratio = fan_out(rest, "later_seq", "early_seq").filter(ratio_reached("later_key", "early_key")).select(*keys, "later_seq", "early_seq")
-    return by_words.union(by_ratio)
+    least = F.zip_with(letter_counts(F.col("later_key")), letter_counts(F.col("early_key")), lambda m, n: F.least(m, n))
+    shared = F.aggregate(least, F.lit(0), lambda acc, n: acc + n)
+    possible = (2 * F.least(la, lb) >= RATIO * (la + lb) - 1e-9) & (2 * shared >= RATIO * (la + lb) - 1e-9)
+    near = cut(judged.filter(F.col("by_words") | possible).select(*ids, "by_words", "later_key", "early_key"), "near")
+    by_ratio = fan_out(near.filter("not by_words"), "later_seq", "early_seq").filter(ratio_reached("later_key", "early_key"))
+    return near.filter("by_words").select(*ids).union(by_ratio.select(*ids))
 
 
 def distinct_stems(candidates: DataFrame, keys: list[str]) -> DataFrame:
