@@ -179,7 +179,7 @@ def d8_merge(spark, sf):
     return Q.merge_accounting(parts, ["job_id"])
 
 
-QUOTA = f"""v AS (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS j FROM v_candidates WHERE seq % 4 <> 0),
+QUOTA = f"""v AS (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS j FROM v_candidates),
 f AS (SELECT *, concat('w', (round - 1) % 3) AS window_id, (j % 4)::BIGINT AS n_windows, ((round - 1) % 3 + j % 3)::BIGINT AS quota, 12 + j % 30 AS requested FROM v),
 q AS (SELECT *, CASE WHEN round <= n_windows AND n_windows > 1 THEN row_number() OVER (PARTITION BY job_id, window_id, round <= n_windows AND n_windows > 1 ORDER BY seq) <= greatest(1, quota) ELSE true END AS ok FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id, ok ORDER BY seq) AS place FROM q)"""
@@ -188,7 +188,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_id, ok ORDER BY seq) AS plac
 @query("E20_quota_acceptance", f"""WITH {duck.CANDIDATES}, {QUOTA} SELECT job_id, window_id, seq, question_id,
   CASE WHEN ok AND place <= requested THEN 'final_accepted' ELSE 'surplus_not_needed' END AS outcome FROM r""")
 def e20(spark, sf):
-    verified = views.candidates(spark, sf).filter("seq % 4 <> 0").selectExpr(
+    verified = views.candidates(spark, sf).selectExpr(
         "job_id", "round", "seq", "question_id", "concat('w', (round - 1) % 3) AS window_id",
         "(round - 1) % 3 + CAST(substr(job_id, 5) AS BIGINT) % 3 AS quota",
     )

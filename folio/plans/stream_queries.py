@@ -61,14 +61,14 @@ def k3(spark, sf):
     return J.run_to_table(J.provider_health(calls), "health").drop("batch")
 
 
-@query("K4_continuous_ingest", f"""WITH {duck.VERSIONS}, v AS (SELECT * FROM v_versions WHERE version_id % 3 <> 0), up AS (SELECT doc_id AS upload_id, sha256(text) AS checksum, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS rep FROM documents),
+@query("K4_continuous_ingest", f"""WITH {duck.VERSIONS}, v AS (SELECT * FROM v_versions WHERE quality_status <> 'UNASSESSED'), up AS (SELECT doc_id AS upload_id, sha256(text) AS checksum, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS rep FROM documents),
 p AS (SELECT checksum, bool_or(NOT is_deleted AND ingestion_status IN ('COMPLETED', 'PARTIAL', 'PROCESSING')) AS a, bool_or(NOT is_deleted AND ingestion_status = 'FAILED') AS f, arg_max(CASE WHEN is_deleted THEN version_id END, CASE WHEN is_deleted THEN created_seq END) AS d FROM v GROUP BY 1)
 SELECT upload_id, CASE WHEN a OR rep THEN 'DUPLICATE' WHEN f THEN 'REPLACE_FAILED' WHEN d IS NOT NULL THEN 'REUSE_DELETED' ELSE 'NEW' END AS decision FROM up LEFT JOIN p USING (checksum)""")
 def k4(spark, sf):
     import uuid
 
     base = f"{shared_dir(spark)}/folio-ingest-{uuid.uuid4().hex}"
-    stored = views.versions(spark, sf).filter("version_id % 3 <> 0").select("version_id", "checksum", "is_deleted", "ingestion_status", "created_seq")
+    stored = views.versions(spark, sf).filter("quality_status <> 'UNASSESSED'").select("version_id", "checksum", "is_deleted", "ingestion_status", "created_seq")
     stored.write.parquet(f"{base}/catalogue")
     docs = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/document[s].parquet")
     uploads = docs.select(F.col("doc_id").alias("upload_id"), F.sha2("text", 256).alias("checksum"))
