@@ -65,15 +65,16 @@ def mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = cut(targets(sizes, weights, budget, epochs), "targets")
     keyed = rows.join(shares, rows["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    shuffle = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     queue = keyed.filter("size > 0").select(
-        "source_no", F.xxhash64("doc_id", F.lit("mix")).alias("shuffle_key"), "doc_id", "row_id", "size", "source_size", "target"
+        "source_no", shuffle.alias("shuffle_key"), "doc_id", "row_id", "size", "source_size", "target"
     )
     sent = running(queue, ["source_no"], ["shuffle_key", "doc_id", "row_id"], {"sent": "size"}, "turn")
     passes = sent.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     finish = (F.col("epoch") * F.col("source_size") + F.col("sent")) / F.col("target")
     entries = passes.select("row_id", "doc_id", "source_no", "size", "epoch", finish.alias("finish"))
     total = shares.agg(F.sum("source_size")).first()[0] or 0
-    served = running(entries, [], ["finish", "source_no", "epoch", "row_id"], {"upto": "size"}, "position")
+    served = running(entries, [], ["finish", "source_no", "epoch", "doc_id", "row_id"], {"upto": "size"}, "position")
     return served.filter(F.col("upto") <= budget * total), keyed
 
 
@@ -102,3 +103,20 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     return keyed.join(taken, "row_id", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"), "source",
     )
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS source_no FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(source_no - 1) % 3 + 1] AS BIGINT) AS weight, source_size * 2 AS cap FROM s),
+t AS (SELECT CAST(1.5 AS DOUBLE) * CAST(sum(source_size) AS DOUBLE) AS budget, CAST(sum(weight) AS BIGINT) AS weights FROM w),
+v AS (SELECT max((budget - CAST(caps - cap AS DOUBLE)) / CAST(weights - (spent - weight) AS DOUBLE)) AS level FROM (
+  SELECT *, sum(cap) OVER o AS caps, sum(weight) OVER o AS spent FROM w, t WINDOW o AS (ORDER BY cap / weight, source_no ROWS UNBOUNDED PRECEDING))),
+g AS (SELECT source, source_no, source_size, least(CAST(cap AS DOUBLE), weight * level) AS target FROM w, v),
+q AS (SELECT d.doc_id, d.source, size, source_no, source_size, target, CAST(sum(size) OVER (PARTITION BY source_no ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, (epoch * source_size + sent) / target AS finish FROM q, (SELECT unnest([0, 1]) AS epoch) WHERE size > 0),
+p AS (SELECT *, sum(size) OVER (ORDER BY finish, source_no, epoch, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM p, t WHERE upto <= budget GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, source FROM q LEFT JOIN k ON k.doc_id = q.doc_id
+"""

@@ -27,8 +27,10 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 QUERIES["op4_reshard"] = reshard.op4_reshard
 QUERIES["op5_mix_sources"] = mixing.op5_mix_sources
+ORACLES["op5_mix_sources"] = mixing.OP5_SQL
 QUERIES["op2_simhash"] = simhash.op2_simhash
 QUERIES["op7_near_vectors"] = vectors.op7_near_vectors
+ORACLES["op7_near_vectors"] = vectors.OP7_SQL
 QUERIES["op9_pack_sequences"] = packing.op9_pack_sequences
 QUERIES["op1_main_text"] = html.op1_main_text
 QUERIES["op8_language_id"] = language.op8_language_id

@@ -147,3 +147,13 @@ def near_vectors(rows: DataFrame) -> DataFrame:
 def op7_near_vectors(spark, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.root),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(root) AS component_id, r.vec_id = min(root) AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
+"""
