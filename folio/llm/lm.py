@@ -195,6 +195,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """Counts of the commonest words, at most `most` of them, commonest first.
+
+    A histogram of the counts (64 bins for each power of two, so of bounded size) tells from which bin on
+    no more than `most` words are left; only those words come to the driver.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    bins = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    total, lowest = 0, None
+    for r in sorted(bins, reverse=True):
+        total += r.n
+        if total > most:
+            break
+        lowest = r.step
+    if lowest is None:
+        return {}
+    found = counts.filter(step >= lowest).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return {w.encode(): int(c) for w, c in zip(found["word"], found["c"])}
+
+
 def _trained(texts: DataFrame, start: Model, frequent: dict[bytes, int]) -> DataFrame:
     """(entry, value, tokens): the parameters of each task after one pass over its texts."""
     spark = texts.sparkSession
@@ -318,8 +338,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     ends = training.count()
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = size.n + ends, size.v + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    head = {w.encode(): int(c) for w, c in zip(top["word"], top["c"])}
+    head = head_words(counts, HEAD)
     frequent = {w: i for i, w in enumerate(list(head)[:FREQUENT])}
     symbol_counts = np.ones(SYMBOLS)
     symbol_counts[: len(frequent)] += [head[w] for w in frequent]

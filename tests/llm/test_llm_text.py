@@ -227,6 +227,16 @@ def test_rare_words_meet_their_counts_by_shuffle(docs, monkeypatch):
         assert r.n_known == known and abs(r.base_score - base) < 1e-6
 
 
+def test_head_words_are_the_commonest(spark):
+    rows = [(f"w{i}", 1 + i // 3) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word string, c long")
+    for most in (0, 1, 5, 40, 1000):
+        head = lm.head_words(counts, most)
+        assert len(head) <= most and list(head.values()) == sorted(head.values(), reverse=True)
+        assert min(head.values(), default=10**9) >= max((c for w, c in rows if w.encode() not in head), default=0)
+    assert len(lm.head_words(counts, 1000)) == 300
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = lm.Model(rng.dirichlet(np.ones(lm.SYMBOLS)) + 1e-9)
