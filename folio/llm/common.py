@@ -51,3 +51,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
         (F.col("_n") + F.sum(one).over(inside)).alias(number),
         *[(F.col(f"_t_{name}") + F.sum(c).over(inside)).alias(name) for name, c in sums.items()],
     )
+
+
+#: Name of the column by which a stage tells its rows apart; identifiers may be null or repeated.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of its own for every row in ROW, written out so that the numbers stay as they are."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")

@@ -185,3 +185,40 @@ def test_every_corpus_query_is_registered():
 
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+
+
+def edited(rnd, words, n):
+    """`words` with n of them replaced."""
+    places = set(rnd.sample(range(len(words)), n))
+    return [f"new{rnd.random()}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_stage_equals_all_pairs(spark):
+    from test_llm_text import slow_fingerprint
+
+    rnd = random.Random(8)
+    texts = []
+    for k in range(40):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([4, 12, 100, 400]))]
+        texts += [" ".join(base)] + [" ".join(edited(rnd, base, round(len(base) * rnd.uniform(0.005, 0.035)))) for _ in range(4)]
+    line = " ".join(f"line{i}" for i in range(30))
+    texts += [f"{line} {' '.join(str(rnd.random()) for _ in range(n))}" for n in (2, 2, 3, 4, 5, 6, 7, 40, 90)]
+    hot = [f"h{i}" for i in range(200)]
+    texts += [" ".join(edited(rnd, hot, 2)) for _ in range(60)] + ["", None, " ", "Ä b", "ä B"]
+    rnd.shuffle(texts)
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [grams(t) for t in texts]
+    prints = [slow_fingerprint(t) for t in texts]
+
+    def linked(a, b):
+        return 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) or (prints[a] ^ prints[b]).bit_count() <= 4
+
+    want = sorted(set(smallest(list(range(len(texts))), reach(len(texts), linked))))
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert corpus_pipeline.near_stage(spark, docs.limit(0), "").collect() == []
