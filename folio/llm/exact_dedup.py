@@ -61,7 +61,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Returns doc_id, keep_id (smallest doc_id of the equal texts), group_size, kept, text_sha256.
     Null and empty texts are equal to each other and form one group; a text of white
     space is a single space. Whole texts count, whatever their length. Rows that repeat the
-    kept doc_id are all kept here (`keep_first` leaves one of them); a null doc_id is
+    kept doc_id are all kept here (`keep_first` leaves one of each group); a null doc_id is
     the keeper only where its group has no other. An empty table gives no rows, and
     columns other than doc_id and text are not read.
     """
@@ -76,13 +76,31 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they came.
 
-    Identifiers of dropped rows are anti-joined, so the kept texts are moved once. Rows that
-    repeat a kept doc_id with an equal text go too, as do all but one with a null doc_id.
+    The row of the smallest doc_id stays, null last; of rows that share it, any one. Rows
+    go by doc_id and digest together, so different texts may share a doc_id or have none. These keys of
+    dropped rows are anti-joined, so the kept texts are moved once.
     """
-    groups = exact_groups(docs)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = groups.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    key = ["digest", "n_chars", "check"]
+    found = cut(digests(docs), "digests")
+    groups = cut(
+        found.join(merge_runs(found), key).groupBy("doc_id", *key)
+        .agg(F.first(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.count("*").alias("n")),
+        "groups",
+    )
+    norm = normalised(F.col("text"))
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.sha2(F.encode(norm, "UTF-8"), 256).alias("digest"), F.length(norm).alias("n_chars"), F.xxhash64(norm).alias("check"),
+    )
+
+    def among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        same = F.col("row.doc_id").eqNullSafe(chosen["doc_id"])
+        for name in key:
+            same = same & (rows[name] == chosen[name])
+        return rows.join(chosen, same, how)
+
+    tied = groups.filter("kept and n > 1")
+    if tied.isEmpty():
+        return among(marked, groups.filter("not kept"), "left_anti").select("row.*")
+    single = among(marked, groups.filter("not kept or n > 1"), "left_anti")
+    return single.unionByName(among(marked, tied, "left_semi").dropDuplicates(key)).select("row.*")

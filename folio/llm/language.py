@@ -10,7 +10,7 @@ language of most letters is the text's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.runtime import cut, table
+from folio.runtime import table
 
 #: Labelled documents a language that the classifier is fitted on, at most (in expectation).
 SAMPLE = 4000
@@ -206,8 +206,8 @@ def spans(text: str, languages: list[str], scorer: Scorer, switch: float = SWITC
     return [(languages[path[a]], a, b - a) for a, b in zip(bounds, bounds[1:])]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH) -> DataFrame:
-    """(doc_id, lang_pred, score, n_spans) of every row of (doc_id, text).
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(*keep, lang_pred, score, n_spans) of every row of `docs`, which has text and the columns `keep`.
 
     The prediction is the language whose spans hold most letters, score their share of all letters.
     """
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sw
         scorer = Scorer(table_, allowed)
         for part in parts:
             done, held, size = [], [], 0
-            for text in part.column(1):
+            for text in part.column(part.schema.get_field_index("text")):
                 held.append(words_of(text.as_py() or ""))
                 size += len(held[-1])
                 if size >= CHUNK:
@@ -242,11 +242,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sw
                     held, size = [], 0
             done += flush(held, scorer)
             langs, scores, n = zip(*done) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "lang_pred", "score", "n_spans"]
-            )
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*map(part.column, keep), *found], [*keep, "lang_pred", "score", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, lang_pred string, score double, n_spans int")
+    kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep]
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(batches, ", ".join([*kinds, "lang_pred string, score double, n_spans int"]))
 
 
 def is_held_out(modulus: int = 4, remainder: int = 2) -> Column:
@@ -263,15 +263,15 @@ def identify(docs: DataFrame) -> DataFrame:
     read whole; an empty table gives no rows; columns other than doc_id, text and lang are not read.
     """
     model = fit(training(docs.select("doc_id", "text", "lang"), is_held_out()))
-    found = predict(docs, model)
+    found = predict(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), model)
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "n_spans")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """`docs` without the documents that are `und` or have no language for at least `least` of their letters. Needs unique doc_ids."""
-    found = cut(identify(docs).select("doc_id", "lang_pred", "score"), "languages")
-    gone = found.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows that are `und` or have no language for at least `least` of their letters, each row judged on its own."""
+    model = fit(training(docs.select("doc_id", "text", "lang"), is_held_out()))
+    found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import running, word_count
+from folio.llm.common import ROW, numbered, running, word_count
 from folio.runtime import cut, table
 
 WEIGHTS = (5, 2, 1)
@@ -50,10 +50,10 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float
     )
 
 
-def queued(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, source, size) of every row, written out so that row_id stays as it is."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return cut(sized.withColumn("row_id", F.monotonically_increasing_id()), "queued")
+def queued(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, row_id) of every row, written out so that row_id stays as it is; `row` is a column that has it already."""
+    row_id = F.monotonically_increasing_id() if row is None else F.col(row)
+    return cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_id.alias("row_id")), "queued")
 
 
 def mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
@@ -81,13 +81,14 @@ def mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: every row as often as it is taken, all columns as they came.
 
-    Needs unique doc_ids, as exact de-duplication leaves them. Rows without words take
+    Rows that share a doc_id or have none are taken each on their own. Rows without words take
     no part in the mix and go.
     """
-    entries, _ = mix(queued(docs))
-    times = entries.groupBy(F.col("doc_id").alias("_taken_id")).agg(F.count("*").cast("int").alias("_times"))
-    taken = docs.join(times, docs["doc_id"] == F.col("_taken_id"))
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    rows = numbered(docs)
+    entries, _ = mix(queued(rows, ROW))
+    times = entries.groupBy(F.col("row_id").alias(ROW)).agg(F.count("*").cast("int").alias("_times"))
+    taken = rows.join(times, ROW)
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -222,3 +222,32 @@ def test_near_stage_equals_all_pairs(spark):
     kept = corpus_pipeline.near_stage(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_stages_keep_rows_without_or_with_repeated_ids(spark):
+    from test_llm_text import LANGS
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(LANGS["en"]) + rnd.choice(["", "a", "ing"]) for _ in range(60)) for _ in range(30)]
+    ids = [None] * 10 + [5] * 10 + list(range(100, 110))
+    rows = list(zip(ids, texts))
+    # Copies without an identifier, with one that others have, and junk under identifiers of good rows.
+    rows += [(None, texts[25]), (None, texts[3]), (5, texts[12]), (5, texts[2]), (None, "12 34"), (5, "!!"), (101, None)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    clean = corpus_pipeline.language_stage(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(rows[:-3])
+    want = Counter((5 if t == texts[2] else i, t) for i, t in rows[:30])
+    exact = corpus_pipeline.exact_stage(spark, clean, "")
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == want
+    near = corpus_pipeline.cut(corpus_pipeline.near_stage(spark, exact, ""), "test")
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == want
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_stage(spark, near, "").collect())
+    # One source of 1,800 words, a budget of one and a half times that: every row once, half of them twice.
+    assert set(mixed) == set(want) and sorted(mixed.values()) == [1] * 15 + [2] * 15
+
+
+def test_pipeline_on_the_full_fixture(spark, tmp_path):
+    rows = corpus()
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert None in found and 7 in found and not found & {401, 402, 403}
