@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup, html, language, lm, mixing, packing, reshard, simhash, tool_calls, vectors
+from folio.llm import alignment, binary_packing, exact_dedup, html, language, lm, mixing, packing, reshard, simhash, tool_calls, variants, vectors
 from folio.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,6 @@ QUERIES["op8_language_id"] = language.op8_language_id
 QUERIES["op3_lm_score"] = lm.op3_lm_score
 QUERIES["op6_tool_calls"] = tool_calls.op6_tool_calls
 ORACLES["op6_tool_calls"] = tool_calls.OP6_SQL
+QUERIES["op11_align_tokens"] = alignment.op11_align_tokens
+QUERIES["op12_binary_packing"] = binary_packing.op12_binary_packing
+QUERIES["op13_spelling_variants"] = variants.op13_spelling_variants
