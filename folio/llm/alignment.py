@@ -11,7 +11,7 @@
 5. A text's measures join the documents by the text's digest.
 
 Both tokenizers cut words apart at a single space between two other characters: no pattern match of A and
-no piece of B reaches over it. So words are aligned one by one and remembered.
+no piece of B reaches over it. So words are tokenised one by one and remembered, and a text's tokens are aligned as arrays.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +33,16 @@ BYTE_BPE = "byte_bpe_50k"
 PIECE_BPE = "piece_bpe_32k"
 #: Pairs of ids whose counts are sent to all tasks, at most: a few megabytes.
 HEAD = 1 << 17
-#: Words a worker remembers, and the longest of them; they change speed only.
-CACHE = 200_000
+#: Words of a worker's memory in each of its two generations, and the longest of them; they change speed only.
+CACHE = 150_000
 LONGEST = 64
 #: Characters from which a word goes to the encoder whose time grows with n log n.
 LONG_WORD = 1_000
 #: Links after which a task hands on its rows.
 BATCH_LINKS = 1_000_000
 
-#: n_a, n_b, n_groups, groups as text, links as little-endian 64-bit numbers, whether both tokenizers give the bytes back.
-Entry = tuple[int, int, int, bytes, bytes, bool]
+#: A and B tokens as little-endian 32-bit numbers, and whether both tokenizers give the bytes back.
+Entry = tuple[bytes, bytes, bool]
 
 
 class Aligner:
@@ -66,7 +67,13 @@ class Aligner:
         self.by_words = not any(b" " in token.lstrip(b" ") for token in self.bytes_b)
         self.single_space = re.compile(r"(?<=\S) (?=\S)")
         self.latin = re.compile("[\0-\x7fÀ-ÖØ-öø-ɏ]*")
+        self.length_a, self.length_b = np.zeros(max(ranks.values()) + 1, np.int64), np.array(list(map(len, self.bytes_b)))
+        for i, token in self.bytes_a.items():
+            self.length_a[i] = len(token)
+        # Each id as text, inside a list, at the end of a group's A tokens, at the end of a group.
+        self.names = [b"%d%b" % (i, mark) for i in range(max(len(self.length_a), self.size_b)) for mark in (b",", b"|", b";")]
         self.cache: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
@@ -77,26 +84,24 @@ class Aligner:
             return self.fast.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def align(self, word: str) -> Entry:
-        """Groups and links of `word`, which stands after a space."""
+    def both(self, word: str) -> Entry:
+        """Tokens of `word`, which stands after a space."""
         a, b = self.encode_a(" " + word), self.pieces.encode(word)
-        one, two = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         whole = (" " + word).encode()
-        if b"".join(one) != whole or b"".join(two) != whole:
-            return 0, 0, 0, b"", b"", False
-        groups, links = [], []
-        i = j = from_i = from_j = end_i = end_j = 0
-        while i < len(a):
-            end_i += len(one[i])
-            i += 1
-            while end_j < end_i:
-                end_j += len(two[j])
-                j += 1
-            if end_i == end_j:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                links.append(a[i - 1] * self.size_b + b[j - 1])
-                from_i, from_j = i, j
-        return len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, "<i8").tobytes(), True
+        sound = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
+        return struct.pack(f"<{len(a)}i", *a), struct.pack(f"<{len(b)}i", *b), sound
+
+    def known(self, word: str) -> Entry | None:
+        """What is remembered of `word`; the words met since the last change of generations stay."""
+        entry = self.older.get(word)
+        if entry is not None:
+            self.remember(word, entry)
+        return entry
+
+    def remember(self, word: str, entry: Entry) -> None:
+        if len(self.cache) >= CACHE:
+            self.cache, self.older = {}, self.cache
+        self.cache[word] = entry
 
     def entries(self, text: str) -> list[Entry]:
         """Entries of the parts of `text` that can be aligned on their own; a single space stands before each."""
@@ -110,23 +115,39 @@ class Aligner:
             found = list(map(self.cache.get, words))
         for i, word in enumerate(words):
             if found[i] is None:
-                found[i] = self.cache.get(word) or self.align(word)
-                # Words with white space at an edge are not remembered: a text of remembered words was cut at single spaces.
-                if word and len(word) <= LONGEST and not word[0].isspace() and not word[-1].isspace():
-                    if len(self.cache) >= CACHE:
-                        self.cache.clear()
-                    self.cache[word] = found[i]
+                found[i] = self.cache.get(word) or self.known(word)
+                if found[i] is None:
+                    found[i] = self.both(word)
+                    # Words with white space at an edge are not remembered: a text of remembered words was cut at single spaces.
+                    if word and len(word) <= LONGEST and not word[0].isspace() and not word[-1].isspace():
+                        self.remember(word, found[i])
         return found
 
     def text(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """(n_a, n_b, n_groups, groups_sha256, links) of a whole text; zeros where it has no tokens."""
         if text:
-            n_a, n_b, n_groups, groups, links, sound = zip(*self.entries(text))
+            tokens_a, tokens_b, sound = zip(*self.entries(text))
             if all(sound):
-                digest = hashlib.sha256(b";".join(groups)).hexdigest()
-                return sum(n_a), sum(n_b), sum(n_groups), digest, np.frombuffer(b"".join(links), "<i8")
+                return self.align(np.frombuffer(b"".join(tokens_a), "<i4"), np.frombuffer(b"".join(tokens_b), "<i4"))
         return 0, 0, 0, "", np.zeros(0, np.int64)
 
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, str, np.ndarray]:
+        """Groups and links of two token lists over the same bytes."""
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        at = np.searchsorted(end_b, end_a)
+        closes_a = end_b[at] == end_a
+        last_a, last_b = np.flatnonzero(closes_a), at[closes_a]
+        closes_b = np.zeros(len(b), bool)
+        closes_b[last_b] = True
+        # A group's A tokens stand before its B tokens: each is moved by what the other list has before it.
+        start_b, stop_a = np.concatenate(([0], last_b[:-1] + 1)), last_a + 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + start_b[np.cumsum(closes_a) - closes_a]] = 3 * a + closes_a
+        order[np.arange(len(b)) + stop_a[np.cumsum(closes_b) - closes_b]] = 3 * b + 2 * closes_b
+        groups = b"".join(map(self.names.__getitem__, order.tolist()))[:-1]
+        links = a[last_a].astype(np.int64) * self.size_b + b[last_b]
+        return len(a), len(b), len(last_a), hashlib.sha256(groups).hexdigest(), links
+
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
