@@ -60,4 +60,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.step_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once everything that reads them has been written itself."""
+    for step in tables:
+        path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
