@@ -58,5 +58,5 @@ ROW = "_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a number of its own for every row in ROW, written out so that the numbers stay as they are."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """Every row of `docs` as one struct `row`, whatever its columns are called, with a number of its own in ROW; written out so that the numbers stay as they are."""
+    return cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias(ROW)), "rows")

@@ -91,7 +91,7 @@ def training(docs: DataFrame, held_out: Column) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log-probability table, allowed scripts) from (doc_id, text, lang) of labelled documents.
 
-    At most about `sample` documents a language are used, chosen by a hash of doc_id;
+    At most about `sample` documents a language are used, chosen by a hash of doc_id and text;
     the counts are added up in Spark and the driver receives one table of fixed size a language.
     """
     counted = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, n
         return [], np.zeros((TABLE, 0), np.float32), np.zeros((len(NAMES), 0), bool)
     shares = {r.lang: min(1.0, sample / r.n) for r in counted}
     share = reduce(lambda out, x: F.when(F.col("lang") == x, F.lit(shares[x])).otherwise(out), languages, F.lit(0.0))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
+    chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     place = {x: i for i, x in enumerate(languages)}
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +268,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """`docs` without the rows that are `und` or have no language for at least `least` of their letters, each row judged on its own."""
+    """`docs` without the rows that are `und` or have no language for at least `least` of their letters, each row judged on its own.
+
+    Null texts and those without a letter are `und`. If nothing is labelled no language can be missed, and all other texts
+    stay. Repeated rows are judged alike; an empty table gives no rows; columns may have any names.
+    """
     model = fit(training(docs.select("doc_id", "text", "lang"), is_held_out()))
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 

@@ -82,13 +82,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: every row as often as it is taken, all columns as they came.
 
     Rows that share a doc_id or have none are taken each on their own. Rows without words take
-    no part in the mix and go.
+    no part in the mix and go; a null source is a source of its own. An empty table gives no rows; columns may have any names.
     """
     rows = numbered(docs)
-    entries, _ = mix(queued(rows, ROW))
-    times = entries.groupBy(F.col("row_id").alias(ROW)).agg(F.count("*").cast("int").alias("_times"))
+    entries, _ = mix(queued(rows.select("row.doc_id", "row.source", "row.text", ROW), ROW))
+    times = entries.groupBy(F.col("row_id").alias(ROW)).agg(F.count("*").cast("int").alias("times"))
     taken = rows.join(times, ROW)
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return taken.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes); equal sets are one node.
 2. Prefix filter: shingles have one order for all texts, and two sets of similarity 0.8 share one of the first
-   n - ceil(0.8 n) + 1 of each. The order puts shingles that are common in a sample last, so that
-   boilerplate makes few candidates; any order gives the same result.
-3. One node leads each shingle's bucket. First each member meets its leader only, unless they are connected already, so
-   a large group of copies costs at most one pair a member and shingle. Then all members of a bucket
-   that are not yet connected meet.
-4. Every candidate pair is verified with both whole sets. Star contraction makes the links components.
-
-Sets do not see how often a shingle occurs, so texts that repeat themselves are linked by their SimHash (op2) besides: at
-most 4 of 64 bits. SimHash alone does not serve: at similarity 0.8 fingerprints are too far apart for bands and trees.
+   n - ceil(0.8 n) + 1 of the longer and n - ceil(8 n / 9) + 1 of the shorter. The order puts shingles that are common in a
+   sample last, so that boilerplate makes few candidates; any order gives the same result.
+3. These shingles are shuffled once, into buckets sorted by size of set. A pass over the sorted rows keeps buckets of two
+   or more sets and pairs each member with its bucket's first, the leader. Shingles that are hot in the sample are dealt
+   to many tasks, whose leaders meet afterwards.
+4. Candidates are verified twice: by the prefixes, whose overlap bounds that of the sets and leaves few pairs, and
+   by the whole sets. Star contraction makes the links components.
+5. In buckets whose members are not all connected, members of different components meet as well, and are verified.
+
+SimHash (op2) finds candidates besides: texts with fingerprints at most 4 of 64 bits apart are linked if their shingles, repeats
+counted, have similarity 0.8 too. SimHash alone does not serve: at similarity 0.8 fingerprints are too far apart for bands and trees.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ROW, numbered
+from folio.llm.common import shuffle_partitions
 from folio.llm.components import components
-from folio.llm.simhash import near_groups
-from folio.runtime import cut
+from folio.llm.simhash import fingerprint, fingerprint_links
+from folio.runtime import cut, discard
 
 WORDS = 5
 SEED = 42
@@ -35,10 +37,14 @@ LEAST, OF = 4, 5
 #: Texts whose shingles are counted for the order, at most (in expectation), and commonest shingles that come last in it.
 SAMPLE = 8_000
 HEAD = 1 << 16
+#: A shingle that so large a share of the sample has is dealt to many tasks.
+HOT = 0.01
+#: Low bits of a shingle that name its bucket (two shingles in one bucket are a few candidates more), and the mark of a hot one.
+BUCKET, HOT_BIT = (1 << 48) - 1, 1 << 48
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a text of at most `words` words is one shingle."""
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order; a text of at most `words` words is one shingle."""
     import xxhash
 
     found = (text or "").lower().encode().split()
@@ -50,7 +56,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     ends = [*spaces.tolist(), len(joined)]
     parts = [joined[i:j] for i, j in zip(starts, ends[words - 1 :])]
     digests = b"".join(map(xxhash.xxh64_digest, parts, repeat(SEED)))
-    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64))
+    return np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(_hashes(text, words))
+
+
+def repeated_shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of a text's shingles in which each repeat is an element of its own."""
+    found, counts = np.unique(_hashes(text, WORDS), return_counts=True)
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(np.repeat(found, counts) + number * np.int64(-7046029254386353131))
 
 
 def prefix(found: np.ndarray, head: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -64,121 +82,242 @@ def prefix(found: np.ndarray, head: np.ndarray, ranks: np.ndarray) -> np.ndarray
     return found[np.argsort(rank, kind="stable")[:length]]
 
 
+def index_length(n: Column) -> Column:
+    """How many first shingles of a set are looked up by sets of its size and longer ones."""
+    return n - F.ceil(n * (2 * LEAST) / (LEAST + OF) - 1e-9) + 1
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ranks): the commonest shingles of a sample, sorted, and their places from rare to common."""
-    share = min(1.0, SAMPLE / max(rows.count(), 1))
-    chance = F.pmod(F.xxhash64(ROW, F.lit("shingles")), F.lit(1_000_000)) / 1_000_000
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, ranks, hot): the commonest shingles of a sample, sorted, their places from rare to common, and the hot ones' buckets."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    chance = F.pmod(F.xxhash64(F.lit("shingles"), "one", "two"), F.lit(1_000_000)) / 1_000_000
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             values, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[shingles(t.as_py()) for t in part.column(0)]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["shingle", "n"])
 
-    counted = rows.filter(chance < share).select("text").mapInArrow(count, "shingle bigint, n bigint")
+    counted = docs.filter(chance < share).select("text").mapInArrow(count, "shingle bigint, n bigint")
     counted = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(HEAD)
-    found = np.array([r.shingle for r in counted.collect()], np.int64)
+    rows = counted.collect()
+    found = np.array([r.shingle for r in rows], np.int64)
     order = np.argsort(found)
-    return found[order], len(found) - order
+    hot = np.unique(np.array([r.shingle & BUCKET for r in rows if r.n > HOT * SAMPLE], np.int64))
+    return found[order], len(found) - order, hot
+
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes (one, two) by which rows and their texts are found again; only these columns are read."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64(text).alias("one"), F.xxhash64(F.lit("two"), text).alias("two"))
 
-def text_sets(rows: DataFrame) -> DataFrame:
-    """(ROW, doc_id, node, n, prefix) of every row: node names the set of shingles, n is its size."""
-    head, ranks = common_shingles(rows)
+
+def text_sets(docs: DataFrame) -> DataFrame:
+    """(row_no, doc_id, one, two, node, n, fp, prefix) of every row of `named`: node names the set of shingles, n is its size, fp the fingerprint."""
+    head, ranks, hot = common_shingles(docs)
+    names = ["doc_id", "one", "two", "node", "n", "fp", "prefix"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in parts:
-            sets = [shingles(t.as_py()) for t in part.column(2)]
+            texts = part.column(3).to_pylist()
+            sets = [shingles(t) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            firsts = _lists([prefix(s, head, ranks) for s in sets])
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            firsts = [prefix(s, head, ranks) & BUCKET for s in sets]
+            firsts = [f | np.where(np.isin(f, hot), HOT_BIT, 0) for f in firsts] if len(hot) else firsts
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), sizes, firsts], [ROW, "doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes), sizes, pa.array(prints), _lists(firsts)], names)
 
     # The type of doc_id passes through.
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"{ROW} bigint, doc_id {kind}, node bigint, n bigint, prefix array<bigint>"
-    return cut(rows.select(ROW, "doc_id", "text").mapInArrow(batches, schema), "sets")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes whose whole sets have similarity LEAST / OF or more."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, one bigint, two bigint, node bigint, n bigint, fp bigint, prefix array<bigint>"
+    rows = docs.select("doc_id", "one", "two", "text").mapInArrow(batches, schema)
+    return cut(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
+
+
+def one_a_node(sets: DataFrame) -> DataFrame:
+    """`sets` with one row of each node; rows of equal sets are few, or few distinct ones, so they are looked up and left out."""
+    firsts = sets.groupBy("node").agg(F.min("row_no").alias("first_row"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    again = cut(sets.select("node", "row_no").join(firsts, "node").filter("row_no <> first_row").select("row_no"), "again")
+    return sets.join(again, "row_no", "left_anti")
+
+
+def alike(n: str, m: str) -> str:
+    """Sizes of sets that can have similarity LEAST / OF."""
+    return f"least({n}, {m}) * {OF} >= greatest({n}, {m}) * {LEAST}"
+
+
+def in_reach(n: str, at: str, m: str, at_m: str) -> str:
+    """Whether sets whose first common shingle stands at these places can still share enough behind them."""
+    return f"least({n} - {at}, {m} - {at_m}) * {LEAST + OF} >= ({n} + {m}) * {LEAST}"
+
+
+_CROWD = ["bucket", "node", "n", "at", "leader", "leader_n", "leader_at"]
+
+
+def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted bucket with its leader, the first row that is indexed; rows before it have no partner. Hot leaders lead themselves."""
+    last, leader = None, None  # bucket part of the last row, and its leader's node, n and place
+    for part in parts:
+        bucket, salt, n, node, at, indexed = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+        if not len(bucket):
+            continue
+        starts = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])))
+        goes_on = last == (bucket[0], salt[0])
+        group = np.cumsum(starts) - 1
+        # Place of the first indexed row of each group in this batch; the batch's length if it has none.
+        first = np.full(group[-1] + 1, len(bucket))
+        places = np.flatnonzero(indexed)
+        np.minimum.at(first, group[places], places)
+        carried = goes_on and leader is not None
+        if carried:
+            first[0] = 0
+        leads = first[group]
+        led = leads < np.arange(len(bucket))
+        own = leads == np.arange(len(bucket))
+        if carried:
+            led[0], own[0] = True, False
+        keep = led | (own & ((bucket & HOT_BIT) != 0))
+        heads = np.minimum(leads, len(bucket) - 1)
+        found = [node[heads], n[heads], at[heads]]
+        if carried:
+            of_carried = group == 0
+            found = [np.where(of_carried, x, f) for x, f in zip(leader, found)]
+        columns = [bucket, node, n, at, *found]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], _CROWD)
+        last = (bucket[-1], salt[-1])
+        ended = first[-1] < len(bucket)
+        leader = tuple(f[-1] for f in found) if ended else None
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, at, leader, leader_n, leader_at): every set of a bucket of two or more beside the bucket's first."""
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "bucket"))
+    hot = F.col("bucket").bitwiseAND(F.lit(HOT_BIT)) != 0
+    tasks = shuffle_partitions(nodes.sparkSession)
+    entries = entries.withColumn("salt", F.when(hot, F.pmod("node", F.lit(tasks))).otherwise(0))
+    ordered = entries.select("bucket", "salt", "n", "node", F.col("at").cast("bigint").alias("at"))
+    ordered = ordered.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "n", "node")
+    schema = ", ".join(f"{c} bigint" for c in _CROWD)
+    rows = ordered.select("*", (F.col("at") < index_length(F.col("n"))).alias("indexed")).mapInArrow(_led, schema)
+    crowd = cut(rows, "crowd")
+    # Leaders of the parts of a hot bucket, one a task at most, follow the first of them.
+    parts = crowd.filter((F.col("bucket").bitwiseAND(F.lit(HOT_BIT)) != 0) & (F.col("node") == F.col("leader")))
+    lead = F.min(F.struct("n", "node", "at")).over(Window.partitionBy("bucket"))
+    tops = parts.withColumn("top", lead).filter("top.node <> node").select(
+        "bucket", "node", "n", "at", F.col("top.node").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.at").alias("leader_at")
+    )
+    return crowd.filter("node <> leader").unionByName(tops)
+
+
+def whole_matches(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """(a, b): the pairs of nodes whose texts' shingles have similarity LEAST / OF or more; with `repeats`, each repeat of a shingle counts."""
+    elements = repeated_shingles if repeats else shingles
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t.as_py()) for t in part.column(1)])], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([elements(t.as_py()) for t in part.column(1)])], ["node", "members"])
 
-    pairs = cut(pairs.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(ROW).alias(ROW))
-    texts = rows.select(ROW, "text").join(chosen, ROW).select("node", "text")
+    chosen = nodes.select("node", "one", "two").join(wanted, "node", "left_semi")
+    texts = docs.select("one", "two", "text").join(chosen, ["one", "two"]).dropDuplicates(["node"]).select("node", "text")
     members = cut(texts.mapInArrow(batches, "node bigint, members array<bigint>"), "members")
     one = members.select(F.col("node").alias("a"), F.col("members").alias("one"))
     two = members.select(F.col("node").alias("b"), F.col("members").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     enough = shared * (LEAST + OF) >= (F.size("one") + F.size("two")) * LEAST
-    return cut(pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "links")
-
-
-def print_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes of rows whose fingerprints are near, as op2 has them."""
-    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    nodes = sets.select(ROW, "node")
-    low = nodes.select(F.col(ROW).alias("component_id"), F.col("node").alias("a"))
-    pairs = groups.filter(f"{ROW} <> component_id").join(nodes, ROW).join(low, "component_id")
-    return cut(pairs.select("a", F.col("node").alias("b")).distinct(), "links")
-
-
-def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, roots) of numbered rows: sets as `text_sets` gives them, roots (node, root) of all nodes that have a near copy."""
-    sets = text_sets(rows)
-    known = print_links(sets, rows)
-    near = cut(components(known), "roots")
-    rooted = sets.join(near, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "prefix")
-    rooted = cut(rooted, "rooted")
-    # 48 bits of a shingle name its bucket: less to move, and a bucket of two shingles is only a few candidates more.
-    entries = rooted.select("node", "n", "root", F.explode("prefix").alias("shingle"))
-    entries = entries.withColumn("shingle", F.col("shingle").bitwiseAND(F.lit((1 << 48) - 1)))
-    # Copies known from their fingerprints need no further link: buckets of one root are left out.
-    buckets = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    buckets = buckets.filter("low <> high").select("shingle", "low")
-    crowd = cut(entries.join(buckets, "shingle"), "crowd")
-    leaders = crowd.filter("root = low").groupBy("shingle").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"))
-
-    def alike(n: str, m: str) -> str:
-        return f"least({n}, {m}) * {OF} >= greatest({n}, {m}) * {LEAST}"
-
-    led = crowd.filter("root <> low").join(leaders, "shingle").filter(alike("n", "leader_n"))
-    led = cut(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    links = verified(led, sets, rows).unionByName(known)
+    links = cut(pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "links")
+    discard(members)
+    return links
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets have similarity LEAST / OF or more.
+
+    What two sets share behind the shorter-reaching prefix is at most the rest of that set, so the
+    overlap of the prefixes bounds that of the sets.
+    """
+    pairs = cut(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = nodes.select("node", "n", "prefix").join(wanted, "node", "left_semi")
+    one = firsts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("prefix").alias("one"))
+    two = firsts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("two"))
+    bound = F.size(F.array_intersect("one", "two")) + F.greatest(F.col("n") - F.size("one"), F.col("m") - F.size("two"))
+    possible = pairs.join(one, "a").join(two, "b").filter(bound * (LEAST + OF) >= (F.col("n") + F.col("m")) * LEAST)
+    return whole_matches(cut(possible.select("a", "b"), "possible"), nodes, docs, repeats=False)
+
+
+def print_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints are near, as op2 finds them, and whose shingles with repeats are alike."""
+    classes = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "classes")
+    equal = nodes.join(classes, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [classes.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "node_a"), ("b", "node_b"))]
+    near = fingerprint_links(classes.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return whole_matches(cut(equal.unionByName(near).distinct(), "pairs"), nodes, docs, repeats=True)
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, roots) of `named` rows: sets as `text_sets` gives them, roots (node, root) of all nodes that have a near copy."""
+    sets = text_sets(docs)
+    nodes = one_a_node(sets)
+    known = print_links(nodes, docs)
+    crowd = cut(bucket_members(nodes), "members")
+    reach = in_reach("n", "at", "leader_n", "leader_at")
+    led = cut(crowd.filter(alike("n", "leader_n")).filter(reach).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
+    links = verified(led, nodes, docs).unionByName(known)
     roots = cut(components(links), "roots")
-    crowd = crowd.select("shingle", "node", "n")
-    placed = crowd.join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-    placed = cut(placed.join(mixed, "shingle", "left_semi"), "open")
-    left = placed.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    right = placed.select("shingle", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    met = left.join(right, "shingle").filter("a_root < b_root").filter(alike("a_n", "b_n")).select("a", "b")
-    more = verified(met.join(led, ["a", "b"], "left_anti"), sets, rows)
+    # Buckets with members outside their leader's component: there all members of different components meet.
+    of_leader = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    placed = crowd.join(roots, "node", "left").join(of_leader, "leader", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node")).withColumn("leader_root", F.coalesce("leader_root", "leader"))
+    apart = placed.filter("root <> leader_root").select("bucket").distinct()
+    rows = cut(placed.join(apart, "bucket", "left_semi"), "open")
+    heads = rows.select("bucket", F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader_at").alias("at"), F.col("leader_root").alias("root"))
+    rows = rows.select("bucket", "node", "n", "at", "root").unionByName(heads).distinct()
+    left = rows.filter(F.col("at") < index_length(F.col("n")))
+    right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
+    met = left.join(right, "bucket").filter("root <> root_b and n <= n_b").filter(alike("n", "n_b")).filter(in_reach("n", "at", "n_b", "at_b"))
+    pairs = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs)
+    discard(crowd)
     return sets, cut(components(links.unionByName(more)), "roots")
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near copies, all columns as they came.
 
-    Groups are the rows reachable over pairs of similarity LEAST / OF or more, or with fingerprints near as in op2. The row of the
-    smallest doc_id stays, null last; of rows that share it, any one. Null, empty and blank texts
-    are copies of each other.
+    Groups are the rows reachable over pairs of similarity LEAST / OF or more, or with fingerprints near as in op2 and such similarity
+    when repeats count. The row of the smallest doc_id stays, null last; of rows that share it, any one.
+    Null, empty and blank texts are copies of each other. An empty table gives no rows; columns may have any
+    names. Rows are told apart by doc_id and two hashes of their text, so no text is written on the way.
     """
-    rows = numbered(docs)
-    sets, roots = near_copies(rows)
-    grouped = sets.join(roots, "node", "left").select(ROW, "doc_id", F.coalesce("root", "node").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW]
+    keys = ["doc_id", "one", "two"]
+    sets, roots = near_copies(named(docs))
+    grouped = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *keys))
     keepers = grouped.groupBy("root").agg(first.alias("keeper"))
-    gone = grouped.join(keepers, "root").filter(f"{ROW} <> keeper").select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"keeper.{key}"))
+    found = cut(grouped.join(keepers, "root").groupBy(*keys).agg(F.first(same).alias("kept"), F.count("*").alias("rows")), "kept")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit("two"), text).alias("two"))
+
+    def among(chosen: DataFrame, how: str) -> DataFrame:
+        same = F.col("row.doc_id").eqNullSafe(chosen["doc_id"]) & (rows["one"] == chosen["one"]) & (rows["two"] == chosen["two"])
+        return rows.join(chosen, same, how)
+
+    tied = found.filter("kept and rows > 1")
+    single = among(found.filter("not kept or rows > 1"), "left_anti")
+    if tied.isEmpty():
+        return single.select("row.*")
+    again = among(tied, "left_semi").withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(keys)
+    return single.select("row.*").unionByName(again.select("row.*"))

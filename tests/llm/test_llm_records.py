@@ -214,8 +214,17 @@ def test_near_stage_equals_all_pairs(spark):
     sets = [grams(t) for t in texts]
     prints = [slow_fingerprint(t) for t in texts]
 
+    def bag(text):
+        words = (text or "").lower().split()
+        return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    bags = [bag(t) for t in texts]
+
     def linked(a, b):
-        return 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) or (prints[a] ^ prints[b]).bit_count() <= 4
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            return True
+        # Near fingerprints link only texts that are alike when repeated shingles count.
+        return (prints[a] ^ prints[b]).bit_count() <= 4 and 9 * (bags[a] & bags[b]).total() >= 4 * (bags[a].total() + bags[b].total())
 
     want = sorted(set(smallest(list(range(len(texts))), reach(len(texts), linked))))
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
@@ -251,3 +260,75 @@ def test_pipeline_on_the_full_fixture(spark, tmp_path):
     documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert None in found and 7 in found and not found & {401, 402, 403}
+
+
+def test_bucket_pass_in_any_batches():
+    """Leaders of sorted buckets, however the rows are cut into batches."""
+    import pyarrow as pa
+
+    from folio.llm import overlap
+
+    rnd = random.Random(3)
+    for round_ in range(300):
+        rows = sorted((rnd.choice([1, 2, 3, overlap.HOT_BIT | 4]), rnd.randrange(2), rnd.randrange(3), node, rnd.randrange(5), rnd.random() < 0.5) for node in range(rnd.randint(0, 25)))
+        kinds = [pa.int64()] * 5 + [pa.bool_()]
+        want, leader, last = [], None, None
+        for bucket, salt, n, node, at, indexed in rows:
+            if (bucket, salt) != last:
+                leader, last = None, (bucket, salt)
+            if leader is not None:
+                want.append((bucket, node, n, at, *leader))
+            elif indexed:
+                leader = (node, n, at)
+                if bucket & overlap.HOT_BIT:
+                    want.append((bucket, node, n, at, *leader))
+        cuts = sorted(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 6)))
+        parts = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], t) for k, t in enumerate(kinds)], list("abcdef")) for p in parts]
+        got = [tuple(r.values()) for b in overlap._led(iter(batches)) for r in b.to_pylist()]
+        assert got == want, round_
+
+
+def test_near_stage_with_hot_shingles(spark, monkeypatch):
+    """Boilerplate in most texts, dealt to several tasks; near copies among them and clean texts around."""
+    from folio.llm import overlap
+
+    monkeypatch.setattr(overlap, "HOT", 0.0003)
+    rnd = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for k in range(90):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([0, 1, 2, 4, 8, 40]))]
+        texts.append(" ".join(common[: rnd.choice([50, 55, 60])] + own))
+    rnd.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+
+    def linked(a, b):
+        return 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+
+    want = sorted(set(smallest(list(range(len(texts))), reach(len(texts), linked))))
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == want
+
+
+def test_stages_with_clashing_columns_and_without_labels(spark):
+    from pyspark.sql import functions as F
+
+    from test_llm_text import LANGS
+
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(LANGS["en"]) + rnd.choice(["", "a", "ing"]) for _ in range(40)), "en", "a") for i in range(20)]
+    rows += [(50, rows[3][1] + " more", "en", "a"), (51, rows[4][1], "en", None), (52, None, "en", "a"), (53, "12", None, "b")]
+    docs = documents(spark, rows)
+    names = "_row row _time _times time times row_no row_id one two node root keeper kept rows n_chars at bucket prefix leader task turn".split()
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.mix_stage):
+        out = corpus_pipeline.cut(stage(spark, wide, ""), "test")
+        assert out.columns == wide.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}:{r.doc_id}" for r in found for n in names)
+        assert stage(spark, wide.limit(0), "").collect() == []
+        wide = out
+    assert corpus_pipeline.pack_stage(spark, wide, "").count() >= 20
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, bare, "").collect()) == [*range(20), 50, 51]
