@@ -12,28 +12,32 @@ from folio.runtime import cut, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# Each stage judges every row on its own, whether its doc_id is null or shared, reads whole texts of any length, counts null
+# texts as empty, gives no rows for an empty table, and hands on columns of any name as they came.
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without one language for a fair part of their letters, go."""
+    """Documents without a letter, or without one language for a fair part of their letters, go. Without labels only the first kind goes."""
     return language.keep_identified(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays: the smallest doc_id, null last, any one of rows that share it. Empty texts are equal."""
     return exact_dedup.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays, chosen as in the exact stage: five-word shingles, Jaccard similarity 0.8 or more."""
     return overlap.keep_distinct(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its sources takes it."""
+    """Every document as often as the mix of its sources takes it; those without words go, a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document's pieces in the packed sequences."""
+    """The place of each document's pieces in the packed sequences; an empty text is its end token."""
     return packing.packed_documents(docs)
 
 
