@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import blocks, layout
@@ -156,7 +157,9 @@ def states(rows, rules):
     return [(p, n, kind, len(lines), {x["page_no"] for x in lines}) for p, n, kind, lines in out]
 
 
-def test_scanner_equals_state_machine(spark):
+@pytest.mark.parametrize("chunk", [512, 7, 1])
+def test_scanner_equals_state_machine(spark, monkeypatch, chunk):
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
     rnd = random.Random(11)
     texts = ["Example a", "Note b", "• item", "(a) item", "x  y", "x  y  z", "x  y", "plain text.", "plain text", "lower", "Activity c", "Big head", "ends-"]
     rows, y, p = [], 10.0, 1
@@ -167,12 +170,26 @@ def test_scanner_equals_state_machine(spark):
         rows.append((p, y, rnd.choice(texts), rnd.choice([1.0, 1.0, 1.0, 1.1, 1.3, 1.5]), rnd.random() < 0.1, rnd.choice([72.0, 72.0, 90.0])))
     rows = page(rows)
     got = blocks.scan_blocks(spark.createDataFrame(rows, LINE))
-    assert got.select("segment").distinct().count() > 20
+    assert sorted(r["block_no"] for r in got.collect()) == list(range(1, got.count() + 1))
     found = sorted((r["first_page"], r["first_line"], r["block_type"], r["n_lines"], set(r["pages"])) for r in got.collect())
     assert found == sorted(states(rows, Rules()))
     assert sum(b[3] for b in found) == len(rows)
 
 
+def test_scanner_on_a_long_book_without_a_break(spark):
+    """One block after another over 200,000 lines, none of which stands under a gap, and a list that spans many chunks."""
+    n = F.col("id")
+    lines = spark.range(200_000).select(
+        F.lit(1).cast("long").alias("book_id"), F.floor(n / 40).alias("page_no"), (n + 1).alias("line_no"),
+        F.when(n.between(50_000, 120_000), "• item").when((n % 7 == 0) | (n == 49_999), "ends here.").otherwise("goes on").alias("text"),
+        F.lit(72.0).alias("x0"), (n % 40 * 12.0).alias("y0"), F.lit(300.0).alias("x1"), (n % 40 * 12.0 + 10).alias("y1"),
+        F.lit(1.0).alias("ratio"), F.lit(False).alias("bold"),
+    )
+    got = blocks.scan_blocks(lines).groupBy("block_type").agg(F.count("*").alias("n"), F.max("n_lines").alias("longest"), F.sum("n_lines").alias("lines"))
+    found = {r["block_type"]: (r["n"], r["longest"], r["lines"]) for r in got.collect()}
+    assert found["list"] == (1, 70_001, 70_001) and found["paragraph"][2] == 129_999 and set(found) == {"list", "paragraph"}
+
+
 def test_script_merge(spark):
     spans = [
         (1, 1, 1, 1, "x", 10.0, 0.0, 5.0, 100.0), (1, 1, 1, 2, "2", 6.0, 5.5, 8.0, 96.0), (1, 1, 1, 3, " + a", 10.0, 8.0, 20.0, 100.0),
