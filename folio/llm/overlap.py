@@ -2,13 +2,15 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes); equal sets are one node.
 2. Prefix filter: shingles have one order for all texts, and two sets of similarity 0.8 share one of the first
-   n - ceil(0.8 n) + 1 of the longer and n - ceil(8 n / 9) + 1 of the shorter. The order puts shingles that are common in a
-   sample last, so that boilerplate makes few candidates; any order gives the same result.
-3. These shingles are shuffled once, into buckets sorted by size of set. A pass over the sorted rows keeps buckets of two
-   or more sets and pairs each member with its bucket's first, the leader. Shingles that are hot in the sample are dealt
-   to many tasks, whose leaders meet afterwards.
-4. Candidates are verified twice: by the prefixes, whose overlap bounds that of the sets and leaves few pairs, and
-   by the whole sets. Star contraction makes the links components.
+   n - ceil(0.8 n) + 1 of the longer and n - ceil(8 n / 9) + 1 of the shorter. The order is made by counting: of the quarter of all
+   shingles with the lowest hashes, those that one set alone has come first, then the others from rare to common; all
+   other shingles come last, by hash. A set's own shingles fill its prefix, so passages that many documents share
+   make no candidates unless they are a large part of a text.
+3. A set's low shingles are shuffled once, into buckets. A pass over the sorted rows keeps buckets of two or more sets; their
+   sizes give the order, and a set keeps the buckets of its prefix. Shingles that are hot in a sample are dealt to many tasks.
+4. Each set meets the first, or leader, of its buckets: first the leader it shares most buckets with, then, if it is not yet
+   connected to them, the others. Candidates are verified twice: by the low shingles, whose overlap bounds that of the sets and leaves
+   few pairs, and by the whole sets. Star contraction makes the links components.
 5. In buckets whose members are not all connected, members of different components meet as well, and are verified.
 
 SimHash (op2) finds candidates besides: texts with fingerprints at most 4 of 64 bits apart are linked if their shingles, repeats
@@ -34,9 +36,10 @@ WORDS = 5
 SEED = 42
 #: Similarity from which two texts are near copies, as numerator and denominator.
 LEAST, OF = 4, 5
-#: Texts whose shingles are counted for the order, at most (in expectation), and commonest shingles that come last in it.
+#: Texts whose shingles are looked at for hot ones, at most (in expectation).
 SAMPLE = 8_000
-HEAD = 1 << 16
+#: Hashes below this are low: a quarter of all.
+LOW_END = -(1 << 63) + (1 << 62)
 #: A shingle that so large a share of the sample has is dealt to many tasks.
 HOT = 0.01
 #: Low bits of a shingle that name its bucket (two shingles in one bucket are a few candidates more), and the mark of a hot one.
@@ -71,15 +74,9 @@ def repeated_shingles(text: str | None) -> np.ndarray:
     return np.unique(np.repeat(found, counts) + number * np.int64(-7046029254386353131))
 
 
-def prefix(found: np.ndarray, head: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """First shingles of a set, of which every set of similarity LEAST / OF has one among its own first."""
-    n = len(found)
-    length = n - (LEAST * n + OF - 1) // OF + 1
-    if not len(head):
-        return found[:length]
-    at = np.minimum(np.searchsorted(head, found), len(head) - 1)
-    rank = np.where(head[at] == found, ranks[at], 0)
-    return found[np.argsort(rank, kind="stable")[:length]]
+def prefix_length(n: Column) -> Column:
+    """How many first shingles of a set are looked up by sets of its size and shorter ones."""
+    return n - F.ceil(n * LEAST / OF - 1e-9) + 1
 
 
 def index_length(n: Column) -> Column:
@@ -92,23 +89,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles, ranks, hot): the commonest shingles of a sample, sorted, their places from rare to common, and the hot ones' buckets."""
+def hot_shingles(docs: DataFrame) -> np.ndarray:
+    """Buckets of the shingles that more than the share HOT of a sample has; they only say which rows are dealt to many tasks."""
     share = min(1.0, SAMPLE / max(docs.count(), 1))
     chance = F.pmod(F.xxhash64(F.lit("shingles"), "one", "two"), F.lit(1_000_000)) / 1_000_000
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[shingles(t.as_py()) for t in part.column(0)]]), return_counts=True)
+            found = np.concatenate([np.zeros(0, np.int64), *[shingles(t.as_py()) for t in part.column(0)]])
+            values, n = np.unique(found[found < LOW_END], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["shingle", "n"])
 
     counted = docs.filter(chance < share).select("text").mapInArrow(count, "shingle bigint, n bigint")
-    counted = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(HEAD)
-    rows = counted.collect()
-    found = np.array([r.shingle for r in rows], np.int64)
-    order = np.argsort(found)
-    hot = np.unique(np.array([r.shingle & BUCKET for r in rows if r.n > HOT * SAMPLE], np.int64))
-    return found[order], len(found) - order, hot
+    rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT * SAMPLE).collect()
+    return np.unique(np.array([r.shingle & BUCKET for r in rows], np.int64))
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -118,9 +112,13 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def text_sets(docs: DataFrame) -> DataFrame:
-    """(row_no, doc_id, one, two, node, n, fp, prefix) of every row of `named`: node names the set of shingles, n is its size, fp the fingerprint."""
-    head, ranks, hot = common_shingles(docs)
-    names = ["doc_id", "one", "two", "node", "n", "fp", "prefix"]
+    """(row_no, doc_id, one, two, node, n, fp, low, prefix) of every row of `named`.
+
+    node names the set of shingles, n is its size, fp the fingerprint, low the number of its low shingles, and prefix has its first
+    shingles by hash: the low ones, and as many as a prefix needs.
+    """
+    hot = hot_shingles(docs)
+    names = ["doc_id", "one", "two", "node", "n", "fp", "low", "prefix"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -130,14 +128,15 @@ def text_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            firsts = [prefix(s, head, ranks) & BUCKET for s in sets]
+            low = [int(np.searchsorted(s, LOW_END)) for s in sets]
+            firsts = [s[: max(k, len(s) - (LEAST * len(s) + OF - 1) // OF + 1)] & BUCKET for s, k in zip(sets, low)]
             firsts = [f | np.where(np.isin(f, hot), HOT_BIT, 0) for f in firsts] if len(hot) else firsts
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes), sizes, pa.array(prints), _lists(firsts)], names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes), sizes, pa.array(prints), pa.array(low, pa.int64()), _lists(firsts)], names)
 
     # The type of doc_id passes through.
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, one bigint, two bigint, node bigint, n bigint, fp bigint, prefix array<bigint>"
+    schema = f"doc_id {kind}, one bigint, two bigint, node bigint, n bigint, fp bigint, low bigint, prefix array<bigint>"
     rows = docs.select("doc_id", "one", "two", "text").mapInArrow(batches, schema)
     return cut(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
 
@@ -159,62 +158,53 @@ def in_reach(n: str, at: str, m: str, at_m: str) -> str:
     return f"least({n} - {at}, {m} - {at_m}) * {LEAST + OF} >= ({n} + {m}) * {LEAST}"
 
 
-_CROWD = ["bucket", "node", "n", "at", "leader", "leader_n", "leader_at"]
+_SHARED = ["bucket", "salt", "node", "n", "at", "low"]
 
 
-def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted bucket with its leader, the first row that is indexed; rows before it have no partner. Hot leaders lead themselves."""
-    last, leader = None, None  # bucket part of the last row, and its leader's node, n and place
+def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and salt, those that do not stand alone in theirs; all of a hot bucket."""
+    held: list[np.ndarray] | None = None  # the last row, and whether it is like the row before it
     for part in parts:
-        bucket, salt, n, node, at, indexed = [c.to_numpy(zero_copy_only=False) for c in part.columns]
-        if not len(bucket):
+        columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+        if not len(columns[0]):
             continue
-        starts = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])))
-        goes_on = last == (bucket[0], salt[0])
-        group = np.cumsum(starts) - 1
-        # Place of the first indexed row of each group in this batch; the batch's length if it has none.
-        first = np.full(group[-1] + 1, len(bucket))
-        places = np.flatnonzero(indexed)
-        np.minimum.at(first, group[places], places)
-        carried = goes_on and leader is not None
-        if carried:
-            first[0] = 0
-        leads = first[group]
-        led = leads < np.arange(len(bucket))
-        own = leads == np.arange(len(bucket))
-        if carried:
-            led[0], own[0] = True, False
-        keep = led | (own & ((bucket & HOT_BIT) != 0))
-        heads = np.minimum(leads, len(bucket) - 1)
-        found = [node[heads], n[heads], at[heads]]
-        if carried:
-            of_carried = group == 0
-            found = [np.where(of_carried, x, f) for x, f in zip(leader, found)]
-        columns = [bucket, node, n, at, *found]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], _CROWD)
-        last = (bucket[-1], salt[-1])
-        ended = first[-1] < len(bucket)
-        leader = tuple(f[-1] for f in found) if ended else None
+        known = np.zeros(len(columns[0]), bool)
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held[:-1], columns)]
+            known = np.concatenate((held[-1], known))
+        bucket, salt = columns[:2]
+        same = (bucket[1:] == bucket[:-1]) & (salt[1:] == salt[:-1])
+        known[1:] |= same
+        keep = (known[:-1] | same) | ((bucket[:-1] & HOT_BIT) != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in columns], _SHARED)
+        held = [*[c[-1:] for c in columns], known[-1:]]
+    if held is not None:
+        keep = held[-1] | ((held[0] & HOT_BIT) != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in held[:-1]], _SHARED)
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, at, leader, leader_n, leader_at): every set of a bucket of two or more beside the bucket's first."""
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "bucket"))
+    """(bucket, node, n, at, leader, leader_n, leader_at): every set of a bucket of two or more beside the bucket's first; at is the place in the order."""
+    entries = nodes.select("node", "n", "low", F.posexplode("prefix").alias("at", "bucket"))
     hot = F.col("bucket").bitwiseAND(F.lit(HOT_BIT)) != 0
     tasks = shuffle_partitions(nodes.sparkSession)
-    entries = entries.withColumn("salt", F.when(hot, F.pmod("node", F.lit(tasks))).otherwise(0))
-    ordered = entries.select("bucket", "salt", "n", "node", F.col("at").cast("bigint").alias("at"))
-    ordered = ordered.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "n", "node")
-    schema = ", ".join(f"{c} bigint" for c in _CROWD)
-    rows = ordered.select("*", (F.col("at") < index_length(F.col("n"))).alias("indexed")).mapInArrow(_led, schema)
-    crowd = cut(rows, "crowd")
-    # Leaders of the parts of a hot bucket, one a task at most, follow the first of them.
-    parts = crowd.filter((F.col("bucket").bitwiseAND(F.lit(HOT_BIT)) != 0) & (F.col("node") == F.col("leader")))
-    lead = F.min(F.struct("n", "node", "at")).over(Window.partitionBy("bucket"))
-    tops = parts.withColumn("top", lead).filter("top.node <> node").select(
+    entries = entries.withColumn("salt", F.when(hot, F.pmod("node", F.lit(tasks))).otherwise(0)).withColumn("at", F.col("at").cast("bigint"))
+    ordered = entries.select(*_SHARED).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    crowd = cut(ordered.mapInArrow(_shared, ", ".join(f"{c} bigint" for c in _SHARED)).drop("salt"), "crowd")
+    sizes = crowd.groupBy("bucket").agg(F.count("*").alias("sets")).filter("sets > 1")
+    is_low = F.col("at") < F.col("low")
+    own = Window.partitionBy("node")
+    # A set's shared low shingles stand behind those that it alone has.
+    rank = F.row_number().over(own.orderBy(F.when(is_low, 0).otherwise(1), "sets", "bucket")) - 1
+    alone = F.col("low") - F.sum(is_low.cast("bigint")).over(own)
+    placed = crowd.join(sizes, "bucket").withColumn("place", F.when(is_low, alone + rank).otherwise(F.col("at")))
+    kept = placed.filter(F.col("place") < prefix_length(F.col("n"))).select("bucket", "node", "n", F.col("place").alias("at"))
+    kept = cut(kept, "members")
+    discard(crowd)
+    leaders = kept.filter(F.col("at") < index_length(F.col("n"))).groupBy("bucket").agg(F.min(F.struct("n", "node", "at")).alias("top"))
+    return kept.join(leaders, "bucket").filter(F.struct("n", "node") > F.struct("top.n", "top.node")).select(
         "bucket", "node", "n", "at", F.col("top.node").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.at").alias("leader_at")
     )
-    return crowd.filter("node <> leader").unionByName(tops)
 
 
 def whole_matches(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
@@ -241,8 +231,8 @@ def whole_matches(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeats:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): the pairs of nodes whose sets have similarity LEAST / OF or more.
 
-    What two sets share behind the shorter-reaching prefix is at most the rest of that set, so the
-    overlap of the prefixes bounds that of the sets.
+    What two sets share besides their first shingles by hash lies in the rest of one of them, so the overlap of these
+    bounds that of the sets.
     """
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -269,9 +259,22 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = one_a_node(sets)
     known = print_links(nodes, docs)
     crowd = cut(bucket_members(nodes), "members")
-    reach = in_reach("n", "at", "leader_n", "leader_at")
-    led = cut(crowd.filter(alike("n", "leader_n")).filter(reach).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    links = verified(led, nodes, docs).unionByName(known)
+    led = crowd.filter(alike("n", "leader_n")).filter(in_reach("n", "at", "leader_n", "leader_at"))
+    led = cut(led.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("buckets")), "led")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose nodes are not connected yet."""
+        for x in ("a", "b"):
+            of_x = roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+            pairs = pairs.join(of_x, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        return pairs.filter("root_a <> root_b").drop("root_a", "root_b")
+
+    best = F.max(F.struct("buckets", "a"))
+    first = apart(led, cut(components(known), "roots")).groupBy("b").agg(best.alias("best")).select("best.a", "b")
+    first = cut(first, "first")
+    links = cut(verified(first, nodes, docs).unionByName(known), "links")
+    others = apart(led.select("a", "b"), cut(components(links), "roots")).join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(others, nodes, docs))
     roots = cut(components(links), "roots")
     # Buckets with members outside their leader's component: there all members of different components meet.
     of_leader = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))

@@ -263,29 +263,20 @@ def test_pipeline_on_the_full_fixture(spark, tmp_path):
 
 
 def test_bucket_pass_in_any_batches():
-    """Leaders of sorted buckets, however the rows are cut into batches."""
+    """Buckets of two or more rows, however the rows are cut into batches."""
     import pyarrow as pa
 
     from folio.llm import overlap
 
     rnd = random.Random(3)
     for round_ in range(300):
-        rows = sorted((rnd.choice([1, 2, 3, overlap.HOT_BIT | 4]), rnd.randrange(2), rnd.randrange(3), node, rnd.randrange(5), rnd.random() < 0.5) for node in range(rnd.randint(0, 25)))
-        kinds = [pa.int64()] * 5 + [pa.bool_()]
-        want, leader, last = [], None, None
-        for bucket, salt, n, node, at, indexed in rows:
-            if (bucket, salt) != last:
-                leader, last = None, (bucket, salt)
-            if leader is not None:
-                want.append((bucket, node, n, at, *leader))
-            elif indexed:
-                leader = (node, n, at)
-                if bucket & overlap.HOT_BIT:
-                    want.append((bucket, node, n, at, *leader))
+        rows = sorted((rnd.choice([1, 2, 3, 4, 5, overlap.HOT_BIT | 4]), rnd.randrange(2), node, 0, 0, 0) for node in range(rnd.randint(0, 12)))
+        sizes = Counter(r[:2] for r in rows)
+        want = [r for r in rows if sizes[r[:2]] > 1 or r[0] & overlap.HOT_BIT]
         cuts = sorted(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 6)))
         parts = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)])]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], t) for k, t in enumerate(kinds)], list("abcdef")) for p in parts]
-        got = [tuple(r.values()) for b in overlap._led(iter(batches)) for r in b.to_pylist()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in range(6)], list("abcdef")) for p in parts]
+        got = [tuple(r.values()) for b in overlap._shared(iter(batches)) for r in b.to_pylist()]
         assert got == want, round_
 
 
