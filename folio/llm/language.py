@@ -27,7 +27,7 @@ TABLE = 1 << 16
 #: Log-probability a change of language must gain.
 SWITCH = 12.0
 #: Words whose scores are computed at once, and entries of a worker's word cache.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 CACHE = 300_000
 #: A language takes part for a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.001
