@@ -4,8 +4,8 @@
 2. Prefix filter: shingles have one order for all texts, and two sets of similarity 0.8 share one of the first
    n - ceil(0.8 n) + 1 of the longer and n - ceil(8 n / 9) + 1 of the shorter. The order is made by counting: of the quarter of all
    shingles with the lowest hashes, those that one set alone has come first, then the others from rare to common; all
-   other shingles come last, by hash. A set's own shingles fill its prefix, so passages that many documents share
-   make no candidates unless they are a large part of a text.
+   other shingles come last, by hash. A set's own shingles fill its prefix first, so a passage that it shares with many
+   makes candidates only if the passage is a large part of it.
 3. A set's low shingles are shuffled once, into buckets. A pass over the sorted rows keeps buckets of two or more sets; their
    sizes give the order, and a set keeps the buckets of its prefix. Shingles that are hot in a sample are dealt to many tasks.
 4. Each set meets the first, or leader, of its buckets: first the leader it shares most buckets with, then, if it is not yet
