@@ -11,7 +11,8 @@
 4. Each set meets the first, or leader, of its buckets: first the leader it shares most buckets with, then, if it is not yet
    connected to them, the others. Candidates are verified twice: by the low shingles, whose overlap bounds that of the sets and leaves
    few pairs, and by the whole sets. Star contraction makes the links components.
-5. In buckets whose members are not all connected, members of different components meet as well, and are verified.
+5. In buckets whose members are not all connected, members of different components meet as well, if the parities of their sets (a bitmap
+   of 512 bits, which bounds in how many shingles they differ) leave the similarity open, and are verified.
 
 SimHash (op2) finds candidates besides: texts with fingerprints at most 4 of 64 bits apart are linked if their shingles, repeats
 counted, have similarity 0.8 too. SimHash alone does not serve: at similarity 0.8 fingerprints are too far apart for bands and trees.
@@ -20,7 +21,9 @@ counted, have similarity 0.8 too. SimHash alone does not serve: at similarity 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ SAMPLE = 8_000
 LOW_END = -(1 << 63) + (1 << 62)
 #: A shingle that so large a share of the sample has is dealt to many tasks.
 HOT = 0.01
+#: Words of 64 bits that hold the parities of a set.
+PARITIES = 8
 #: Low bits of a shingle that name its bucket (two shingles in one bucket are a few candidates more), and the mark of a hot one.
 BUCKET, HOT_BIT = (1 << 48) - 1, 1 << 48
 
@@ -84,6 +89,18 @@ def index_length(n: Column) -> Column:
     return n - F.ceil(n * (2 * LEAST) / (LEAST + OF) - 1e-9) + 1
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of 64 * PARITIES classes, as PARITIES numbers: two sets differ in at least as many shingles as classes."""
+    classes = (members >> np.int64(20)) & np.int64(64 * PARITIES - 1)
+    return np.packbits(np.bincount(classes, minlength=64 * PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
+def few_differ(one: str, two: str, n: str, m: str) -> Column:
+    """Whether sets of sizes n and m with these parities can have similarity LEAST / OF, where they differ in (n + m) / 9 shingles at most."""
+    differing = reduce(add, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(PARITIES)))
+    return differing * (LEAST + OF) <= (F.col(n) + F.col(m)) * (OF - LEAST)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
@@ -112,13 +129,13 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def text_sets(docs: DataFrame) -> DataFrame:
-    """(row_no, doc_id, one, two, node, n, fp, low, prefix) of every row of `named`.
+    """(row_no, doc_id, one, two, node, n, fp, low, parity, prefix) of every row of `named`.
 
-    node names the set of shingles, n is its size, fp the fingerprint, low the number of its low shingles, and prefix has its first
-    shingles by hash: the low ones, and as many as a prefix needs.
+    node names the set of shingles, n is its size, fp the fingerprint, low the number of its low shingles, parity has its `parities`, and
+    prefix its first shingles by hash: the low ones, and as many as a prefix needs.
     """
     hot = hot_shingles(docs)
-    names = ["doc_id", "one", "two", "node", "n", "fp", "low", "prefix"]
+    names = ["doc_id", "one", "two", "node", "n", "fp", "low", "parity", "prefix"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -132,11 +149,12 @@ def text_sets(docs: DataFrame) -> DataFrame:
             firsts = [s[: max(k, len(s) - (LEAST * len(s) + OF - 1) // OF + 1)] & BUCKET for s, k in zip(sets, low)]
             firsts = [f | np.where(np.isin(f, hot), HOT_BIT, 0) for f in firsts] if len(hot) else firsts
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes), sizes, pa.array(prints), pa.array(low, pa.int64()), _lists(firsts)], names)
+            columns = [pa.array(nodes), sizes, pa.array(prints), pa.array(low, pa.int64()), _lists([parities(s) for s in sets]), _lists(firsts)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names)
 
     # The type of doc_id passes through.
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, one bigint, two bigint, node bigint, n bigint, fp bigint, low bigint, prefix array<bigint>"
+    schema = f"doc_id {kind}, one bigint, two bigint, node bigint, n bigint, fp bigint, low bigint, parity array<bigint>, prefix array<bigint>"
     rows = docs.select("doc_id", "one", "two", "text").mapInArrow(batches, schema)
     return cut(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
 
@@ -232,15 +250,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): the pairs of nodes whose sets have similarity LEAST / OF or more.
 
     What two sets share besides their first shingles by hash lies in the rest of one of them, so the overlap of these
-    bounds that of the sets.
+    bounds that of the sets; their parities bound it as well.
     """
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = nodes.select("node", "n", "prefix").join(wanted, "node", "left_semi")
-    one = firsts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("prefix").alias("one"))
-    two = firsts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("prefix").alias("two"))
+    firsts = nodes.select("node", "n", "parity", "prefix").join(wanted, "node", "left_semi")
+    one = firsts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("parity").alias("odd"), F.col("prefix").alias("one"))
+    two = firsts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parity").alias("odd_b"), F.col("prefix").alias("two"))
     bound = F.size(F.array_intersect("one", "two")) + F.greatest(F.col("n") - F.size("one"), F.col("m") - F.size("two"))
-    possible = pairs.join(one, "a").join(two, "b").filter(bound * (LEAST + OF) >= (F.col("n") + F.col("m")) * LEAST)
+    possible = pairs.join(one, "a").join(two, "b").filter(few_differ("odd", "odd_b", "n", "m")).filter(bound * (LEAST + OF) >= (F.col("n") + F.col("m")) * LEAST)
     return whole_matches(cut(possible.select("a", "b"), "possible"), nodes, docs, repeats=False)
 
 
@@ -283,10 +301,13 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = placed.filter("root <> leader_root").select("bucket").distinct()
     rows = cut(placed.join(apart, "bucket", "left_semi"), "open")
     heads = rows.select("bucket", F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader_at").alias("at"), F.col("leader_root").alias("root"))
-    rows = rows.select("bucket", "node", "n", "at", "root").unionByName(heads).distinct()
+    rows = rows.select("bucket", "node", "n", "at", "root").unionByName(heads).distinct().join(nodes.select("node", "parity"), "node")
+    # Two sets whose rows before these share a bucket as well have met there, at earlier places, so they need not meet again.
+    rows = rows.withColumn("before", F.lag("bucket").over(Window.partitionBy("node").orderBy("at", "bucket")))
     left = rows.filter(F.col("at") < index_length(F.col("n")))
-    right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
+    right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root", "parity", "before")])
     met = left.join(right, "bucket").filter("root <> root_b and n <= n_b").filter(alike("n", "n_b")).filter(in_reach("n", "at", "n_b", "at_b"))
+    met = met.filter(F.coalesce(F.col("before") != F.col("before_b"), F.lit(True))).filter(few_differ("parity", "parity_b", "n", "n_b"))
     pairs = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs)
