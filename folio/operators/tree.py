@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,33 +69,71 @@ def scope_paths(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     )
 
 
-def prune_selection(selected: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Drop selected nodes that have a selected ancestor at any distance."""
-    chosen = selected.select(F.col("node_id").alias("ancestor_id")).distinct()
-    covered = pairs.join(chosen, "ancestor_id", "left_semi").select(F.col("descendant_id").alias("node_id"))
-    return selected.join(covered, "node_id", "left_anti")
+def along_tree(nodes: DataFrame, below: Mapping[str, Column], above: Mapping[str, Column]) -> DataFrame:
+    """`nodes` with sums over the descendants of each node (`below`) and maxima over its ancestors (`above`), itself excluded.
+
+    By doubling: after k rounds each node knows its ancestor 2^k levels up, the maxima of the ancestors so far, and the sums of
+    the descendants so far; the next round takes all three from the nodes one such step away. A tree is as many rounds as its
+    depth has binary digits, each over one row a node, and no pair of nodes is stored. Sums are combined
+    before they move, so a parent of any number of children is no burden. A node whose parent is unknown is a root; `node_id` is
+    unique. Sums are zero and maxima null where there is nothing. A cycle of parents is an error.
+    """
+    sums, tops = list(below), list(above)
+    own = nodes.select("node_id", "parent_id", *[v.alias(f"own_{n}") for n, v in below.items()], *[v.alias(f"own_{n}") for n, v in above.items()])
+
+    def step(rows: DataFrame, jump: str, down: list[Column], up: list[Column]) -> DataFrame:
+        """Rows beside what the nodes one step below add and what the node one step above is."""
+        over = rows.select(F.col("node_id").alias(jump), F.lit(True).alias("known"), *up)
+        placed = rows.join(over, jump, "left")
+        if not down:
+            return placed
+        met = rows.filter(F.col(jump).isNotNull()).groupBy(F.col(jump).alias("node_id")).agg(*down)
+        return placed.join(met, "node_id", "left")
+
+    start = step(
+        own, "parent_id", [F.sum(f"own_{n}").alias(n) for n in sums],
+        [F.col("parent_id").alias("next"), *[F.col(f"own_{n}").alias(n) for n in tops]],
+    )
+    jump = F.when(F.col("known"), F.col("parent_id")).alias("jump")
+    state = cut(start.select("node_id", jump, *[F.coalesce(n, F.lit(0)).alias(n) for n in sums], *tops), "along")
+    reach, size = 1, None
+    while not state.filter("jump is not null").isEmpty():
+        size = state.count() if size is None else size
+        if reach >= size:
+            raise ValueError(f"the parents of {state.filter('jump is not null').first().node_id} form a cycle")
+        moved = step(
+            state, "jump", [F.sum(n).alias(f"more_{n}") for n in sums],
+            [F.col("jump").alias("next"), *[F.col(n).alias(f"more_{n}") for n in tops]],
+        )
+        added = [(F.col(n) + F.coalesce(f"more_{n}", F.lit(0))).alias(n) for n in sums]
+        highest = [F.greatest(n, f"more_{n}").alias(n) for n in tops]
+        state, reach = cut(moved.select("node_id", F.col("next").alias("jump"), *added, *highest), "along"), reach * 2
+    return nodes.join(state.select("node_id", *sums, *tops), "node_id")
+
 
+def _marked(nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """`nodes` with a column `hit`: 1 where the node is selected, 0 elsewhere."""
+    chosen = selected.select("node_id", F.lit(1).cast("bigint").alias("hit")).distinct()
+    return nodes.select("node_id", "parent_id").join(chosen, "node_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
-def selection_state(nodes: DataFrame, selected: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def prune_selection(selected: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Drop selected nodes that have a selected ancestor at any distance; identifiers that are no node stay."""
+    placed = along_tree(_marked(nodes, selected), {}, {"over": F.col("hit")})
+    return selected.join(placed.filter("over = 1").select("node_id"), "node_id", "left_anti")
+
+
+def selection_state(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     """I4: checked, indeterminate or unchecked, from the selected descendants of each node."""
-    chosen = selected.select("node_id", F.lit(1).alias("hit")).distinct()
-    below = (
-        pairs.join(chosen.withColumnRenamed("node_id", "descendant_id"), "descendant_id", "left")
-        .groupBy(F.col("ancestor_id").alias("node_id"))
-        .agg(F.count("*").alias("n_below"), F.count("hit").alias("n_hit"))
-    )
-    full = nodes.select("node_id").join(below, "node_id", "left").join(chosen, "node_id", "left")
+    one = F.lit(1).cast("bigint")
+    full = along_tree(_marked(nodes, selected), {"n_below": one, "n_hit": F.col("hit")}, {})
     state = (
-        F.when(F.col("n_below").isNull(), F.when(F.col("hit") == 1, "checked").otherwise("unchecked"))
-        .when(F.col("n_hit") == F.col("n_below"), "checked")
+        F.when((F.col("n_below") > 0) & (F.col("n_hit") == F.col("n_below")), "checked")
         .when(F.col("n_hit") > 0, "indeterminate")
         .when(F.col("hit") == 1, "checked")
         .otherwise("unchecked")
     )
-    return full.select(
-        "node_id", F.coalesce("n_below", F.lit(0)).alias("n_below"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        state.alias("state"),
-    )
+    return full.select("node_id", "n_below", "n_hit", state.alias("state"))
 
 
 def tree_order(nodes: DataFrame) -> DataFrame:

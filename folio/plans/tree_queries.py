@@ -37,7 +37,7 @@ SELECTED = "(depth = 0 AND ordinal % 4 = 1) OR (depth = 1 AND ordinal % 3 = 0) O
 SELECT node_id FROM sel s WHERE NOT EXISTS (SELECT 1 FROM closure c JOIN sel a ON a.node_id = c.ancestor_id WHERE c.descendant_id = s.node_id)""")
 def i2(spark, sf):
     nodes = cut(views.nodes(spark, sf), "nodes")
-    return tree.prune_selection(nodes.filter(SELECTED).select("node_id"), tree.closure(nodes))
+    return tree.prune_selection(nodes.filter(SELECTED).select("node_id"), nodes)
 
 
 SELECTED_4 = "(depth = 2 AND (ordinal % 3 = 0 OR version_id = 'v2')) OR (depth = 1 AND ordinal % 6 = 0)"
@@ -51,7 +51,7 @@ SELECT n.node_id, coalesce(n_below, 0) AS n_below, coalesce(n_hit, 0) AS n_hit,
 FROM v_nodes n LEFT JOIN b ON b.ancestor_id = n.node_id LEFT JOIN sel s ON s.node_id = n.node_id""")
 def i4(spark, sf):
     nodes = cut(views.nodes(spark, sf), "nodes")
-    return tree.selection_state(nodes, nodes.filter(SELECTED_4).select("node_id"), tree.closure(nodes))
+    return tree.selection_state(nodes, nodes.filter(SELECTED_4).select("node_id"))
 
 
 @query("F5_tree_order", f"""WITH {duck.NODES} SELECT version_id, node_id,
