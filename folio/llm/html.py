@@ -46,7 +46,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 SCOPES = frozenset("body article main section div td table".split())
 CONDITIONS = frozenset("has with without no is".split())
 
-_MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z))", re.S)
+#: A quote opens a value only right after its equals sign; elsewhere it is a character like others, as is one that never closes.
+_MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')?|[^>=]++)*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -54,13 +55,12 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element: its path of containers, whether it is left out, and which element it stands in."""
+    """An element: its step in the path of containers and that path's length, whether it is left out, and which element it stands in."""
 
-    __slots__ = ("tag", "parent", "path", "out", "header", "link", "score")
+    __slots__ = ("tag", "parent", "step", "size", "out", "header", "link")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
-        self.tag, self.parent, self.score = tag, parent, 0
-        self.path = parent.path if parent else ""
+        self.tag, self.parent, self.step = tag, parent, ""
         self.out = tag in DROPPED or (parent.out if parent else False)
         self.header = tag == "header" or (parent.header if parent else False)
         self.link = tag == "a" or (parent.link if parent else False)
@@ -72,7 +72,13 @@ class Node:
                 self._mark(f"{names} {found.get('id', '')}", found)
         if tag in CONTAINERS:
             kept = ".".join(sorted(set(_DIGITS.sub("#", names).split())))
-            self.path = f"{self.path}/{tag}.{kept}" if kept else f"{self.path}/{tag}"
+            self.step = f"/{tag}.{kept}" if kept else f"/{tag}"
+        self.size = len(self.step) + (parent.size if parent else 0)
+
+    @property
+    def path(self) -> str:
+        """Built when asked for: with every element's path at hand, deep pages would take memory by the square of their depth."""
+        return "".join([n.step for n in _chain(self)][::-1])
 
     def _mark(self, names: str, found: dict[str, str]) -> None:
         style = found.get("style", "").replace(" ", "").lower()
@@ -215,7 +221,7 @@ def text_of(found: list[tuple[Node, bool, str, int]], path: str | None) -> str:
     """Blocks inside the containers with that path, in page order; without a path, the whole page."""
 
     def inside(node: Node) -> bool:
-        return path is None or any(n.path == path and n.tag in CONTAINERS for n in _chain(node))
+        return path is None or any(n.step and n.size == len(path) and n.path == path for n in _chain(node))
 
     return "\n".join(text for node, heading, text, _ in found if _wanted(node, heading) and inside(node))
 

@@ -429,3 +429,15 @@ def test_only_affected_shards_are_written(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "shards"))
     want = {(r.doc_id, r.shard) for r in placed.collect() if r.shard in changed}
     assert {(r.doc_id, r.shard) for r in back.collect()} == want
+
+
+def test_stray_quotes_and_deep_pages():
+    from folio.llm import html
+
+    said = "<body><article><p class=it's>One thing that is said here.</p><p>We don't know it at all.</p></article></body>"
+    assert html.extract(said, None)[0] == "One thing that is said here.\nWe don't know it at all."
+    odd = "<body><article><p title='a>b' class=\"x\">One = thing.</p><p class=\"open>Two is left.</p><p a = 'q>r'>Three.</p></article></body>"
+    assert html.extract(odd, None)[0] == "One = thing.\nTwo is left.\nThree."
+    deep = "<body>" + "<div>" * 50_000 + "<p>Deep text that is here.</p>" + "</div>" * 50_000
+    text, path = html.extract(deep, None)
+    assert text == "Deep text that is here." and path.count("/div") == 50_000
