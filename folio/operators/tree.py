@@ -69,6 +69,57 @@ def scope_paths(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     )
 
 
+def ordered_paths(nodes: DataFrame) -> DataFrame:
+    """Each node's path from its root, as an array of (depth, ordinal, node_id) that sorts in tree order, a node before its children.
+
+    By doubling: after k rounds a node holds the last 2^k places of its path and its ancestor just above them, so a tree is as
+    many rounds as its depth has binary digits. A node whose parent is unknown is a root; `node_id` is unique; a cycle of parents is
+    an error. Paths are as long as the tree is deep.
+    """
+    known = nodes.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
+    place = F.array(F.struct("depth", "ordinal", "node_id"))
+    state = cut(nodes.join(known, "parent_id", "left").select(
+        "node_id", F.when(F.col("known"), F.col("parent_id")).alias("jump"), place.alias("path")
+    ), "paths")
+    rounds, most = 0, None
+    while not state.filter("jump is not null").isEmpty():
+        most = state.count().bit_length() if most is None else most
+        if rounds > most:
+            raise ValueError(f"the parents of {state.filter('jump is not null').first().node_id} form a cycle")
+        above = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("start"))
+        longer = F.when(F.col("start").isNull(), F.col("path")).otherwise(F.concat("start", "path"))
+        state, rounds = cut(state.join(above, "jump", "left").select("node_id", F.col("next").alias("jump"), longer.alias("path")), "paths"), rounds + 1
+    return state.select("node_id", "path")
+
+
+def nested_trees(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """Each root with all that is below it as nested JSON, children in order of (depth, ordinal, node_id).
+
+    A row a root: version_id, root_no (1, 2, ... in the version), n_nodes, tree. In tree order every node writes its fields and
+    opens its list of children, and closes as many nodes as the next one does not lie in; so a tree is one sorted aggregate of any
+    depth, not a join a level. A version is its rows in order of root_no, so a row holds one root's tree and no whole version.
+    """
+    head = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    # The object stays open: its last field is the list of children.
+    opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['))
+    pieces = nodes.withColumn("opened", opened).join(ordered_paths(nodes), "node_id").select("version_id", "path", "opened")
+    grouped = pieces.groupBy(F.col("path")[0].alias("root")).agg(
+        F.first("version_id").alias("version_id"), F.count("*").alias("n_nodes"), F.array_sort(F.collect_list(F.struct("path", "opened"))).alias("p")
+    )
+    levels = grouped.select("root", "version_id", "n_nodes", "p", F.transform("p", lambda x: F.size(x["path"])).alias("level"))
+
+    def written(piece: Column, i: Column) -> Column:
+        level, following = F.get("level", i), F.coalesce(F.get("level", i + 1), F.lit(0))
+        closed = F.repeat(F.lit("]}"), F.greatest(F.lit(0), level - F.greatest(following, F.lit(1)) + 1))
+        return F.concat(piece["opened"], closed, F.when((following > 0) & (following <= level), F.lit(",")).otherwise(F.lit("")))
+
+    trees = levels.withColumn("tree", F.array_join(F.transform("p", written), ""))
+    order = [F.col("root.depth"), F.col("root.ordinal"), F.col("root.node_id")]
+    return numbered(trees.select("version_id", "root", "n_nodes", "tree"), ["version_id"], F.col("root.depth"), order, "root_no").select(
+        "version_id", "root_no", F.col("root.node_id").alias("node_id"), "n_nodes", "tree"
+    )
+
+
 def along_tree(nodes: DataFrame, below: Mapping[str, Column], above: Mapping[str, Column]) -> DataFrame:
     """`nodes` with sums over the descendants of each node (`below`) and maxima over its ancestors (`above`), itself excluded.
 

@@ -30,6 +30,26 @@ def i1(spark, sf):
     return tree.scope_paths(cut(broken, "nodes"))
 
 
+NODE_JSON = "'id', node_id, 'node_type', node_type, 'title', title, 'depth', depth, 'start_page', start_page, 'end_page', end_page"
+
+
+@query("I1_nested_tree", f"""WITH {duck.NODES},
+nodes1 AS (SELECT * REPLACE (CASE WHEN node_id LIKE 'n%' AND ordinal % 7 = 0 THEN 'missing' ELSE parent_id END AS parent_id) FROM v_nodes),
+j2 AS (SELECT parent_id, depth, ordinal, node_id, json_object({NODE_JSON}, 'children', '[]'::JSON) AS j FROM nodes1 WHERE depth = 2),
+c2 AS (SELECT parent_id AS node_id, to_json(list(j ORDER BY ordinal)) AS children, count(*) AS n FROM j2 GROUP BY 1),
+j1 AS (SELECT a.version_id, a.parent_id, a.depth, a.ordinal, a.node_id, coalesce(n, 0) + 1 AS n, json_object({NODE_JSON.replace(', node_id', ', a.node_id')}, 'children', coalesce(children, '[]'::JSON)) AS j FROM nodes1 a LEFT JOIN c2 ON c2.node_id = a.node_id WHERE depth = 1),
+c1 AS (SELECT parent_id AS node_id, to_json(list(j ORDER BY ordinal)) AS children, sum(n) AS n FROM j1 GROUP BY 1),
+j0 AS (SELECT a.version_id, a.depth, a.ordinal, a.node_id, coalesce(n, 0) + 1 AS n, json_object({NODE_JSON.replace(', node_id', ', a.node_id')}, 'children', coalesce(children, '[]'::JSON)) AS j FROM nodes1 a LEFT JOIN c1 ON c1.node_id = a.node_id WHERE depth = 0),
+rt AS (SELECT version_id, depth, ordinal, node_id, n, j FROM j0 UNION ALL SELECT version_id, depth, ordinal, node_id, n, j FROM j1 WHERE parent_id = 'missing')
+SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY depth, ordinal, node_id) AS root_no, node_id, CAST(n AS BIGINT) AS n_nodes, CAST(j AS VARCHAR) AS tree FROM rt""")
+def i1_nested(spark, sf):
+    broken = views.nodes(spark, sf).withColumn(
+        "parent_id", F.expr("CASE WHEN node_id LIKE 'n%' AND ordinal % 7 = 0 THEN 'missing' ELSE parent_id END")
+    )
+    named = cut(broken.withColumn("id", F.col("node_id")), "nodes")
+    return tree.nested_trees(named, ["id", "node_type", "title", "depth", "start_page", "end_page"])
+
+
 SELECTED = "(depth = 0 AND ordinal % 4 = 1) OR (depth = 1 AND ordinal % 3 = 0) OR (depth = 2 AND ordinal % 5 <> 0)"
 
 

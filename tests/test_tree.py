@@ -74,3 +74,33 @@ def test_empty_trees_and_cycles(spark):
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], SCHEMA)
     with pytest.raises(ValueError, match="cycle"):
         tree.selection_state(ring, ring.select("node_id"))
+
+
+def test_nested_trees_parse_back(spark):
+    """Random forests and a deep chain: the JSON of a root, walked in order, is its tree."""
+    import json
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        known = [r for r in rows if r[3] < 6]
+        parent = rnd.choice(known) if known and rnd.random() < 0.9 else None
+        title = rnd.choice(['a "quoted" name', "plain", None, "new\nline", "[]}{,"])
+        rows.append((f"v{i % 1}", f"n{i}", parent[1] if parent else rnd.choice([None, "gone"]), parent[3] + 1 if parent else 0, rnd.randint(0, 9), title))
+    rows += [("w", f"d{i}", f"d{i - 1}" if i else None, i, 0, "deep") for i in range(70)]
+    df = spark.createDataFrame(rows, "version_id string, node_id string, parent_id string, depth long, ordinal long, title string")
+    ids = {r[1] for r in rows}
+    below = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[4], r[1])):
+        below.setdefault(r[2] if r[2] in ids else (r[0],), []).append(r)
+
+    def nest(r):
+        return {"node_id": r[1], "title": r[5], "children": [nest(c) for c in below.get(r[1], [])]}
+
+    want = {(v, i + 1): nest(r) for v in ("v0", "w") for i, r in enumerate(below[(v,)])}
+    made = tree.nested_trees(df, ["node_id", "title"]).collect()
+    assert {(r["version_id"], r["root_no"]): json.loads(r["tree"]) for r in made} == want
+    assert sum(r["n_nodes"] for r in made) == len(rows)
+    loop = spark.createDataFrame([("v", "a", "b", 0, 0, "t"), ("v", "b", "a", 1, 0, "t")], df.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        tree.nested_trees(loop, ["node_id"])
