@@ -120,3 +120,24 @@ def speakers(text: Column) -> Column:
     """Distinct speakers in the order they first speak."""
     turns = F.filter(dialogue_turns(text), lambda t: t["spoken"])
     return F.array_distinct(F.transform(turns, lambda t: t["speaker"]))
+
+
+def vocabulary_terms(text: Column) -> Column:
+    """Terms with their meanings, in order."""
+    terms, meanings = (F.regexp_extract_all(text, F.lit(TERM), g) for g in (1, 2))
+    return F.transform(
+        F.arrays_zip(terms.alias("t"), meanings.alias("m")),
+        lambda x: F.struct(strip_space(x["t"]).alias("term"), strip_space(x["m"]).alias("meaning")),
+    )
+
+
+def block_payload(kind: Column, text: Column) -> Column:
+    """What a node of this kind stores beside its text, as JSON: speakers and turns, or terms; null where there is nothing.
+
+    The text is null or any string; a dialogue without a speaker has narrator turns only.
+    """
+    turns = F.transform(dialogue_turns(text), lambda t: F.struct(t["speaker"].alias("speaker"), t["utterance"].alias("utterance")))
+    terms = vocabulary_terms(text)
+    return F.when(kind == "dialogue", F.to_json(F.struct(speakers(text).alias("speakers"), turns.alias("turns")))).when(
+        (kind == "vocabulary") & (F.size(terms) > 0), F.to_json(F.struct(terms.alias("terms")))
+    )

@@ -48,6 +48,25 @@ def scope_content(selected: DataFrame, content: DataFrame, open_pages: int = 15)
     return content.join(pages, ["version_id", "page_no"])
 
 
+def keyed_content(selected: DataFrame, content: DataFrame) -> DataFrame:
+    """C3 by key: content that carries the unit, or the unit and lesson, of each selected scope.
+
+    `selected` has version_id, node_id, unit_no and lesson_no (null: the whole unit); content without a unit is in no scope.
+    """
+    units = selected.filter("lesson_no is null").select("version_id", "node_id", "unit_no")
+    lessons = selected.filter("lesson_no is not null").select("version_id", "node_id", "unit_no", "lesson_no")
+    cols = ["node_id", *content.columns]
+    return content.join(units, ["version_id", "unit_no"]).select(*cols).union(
+        content.join(lessons, ["version_id", "unit_no", "lesson_no"]).select(*cols)
+    )
+
+
+def treeless_content(versions: DataFrame, nodes: DataFrame, content: DataFrame) -> DataFrame:
+    """C3 without a tree: a version that has no nodes is one scope, `legacy_all`, of all its content."""
+    bare = versions.select("version_id").distinct().join(nodes.select("version_id").distinct(), "version_id", "left_anti")
+    return content.join(bare, "version_id").withColumn("node_id", F.lit("legacy_all"))
+
+
 def split_windows(selected: DataFrame, nodes: DataFrame, content: DataFrame, batch: int = 12, few: int = 10) -> DataFrame:
     """Content rows of each selected node with the window they fall into.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import titles
-from folio.functions.classify import block_title, block_type
+from folio.functions.classify import block_payload, block_title, block_type
 from folio.functions.numbers import canonical_token, strip_space
 from folio.functions.text import content_hash
 from folio.operators.layout import PAGE, joined_text, union_box
@@ -148,7 +148,7 @@ def lesson_rows(assigned: DataFrame, last_pages: DataFrame) -> DataFrame:
 
 
 def content_nodes(assigned: DataFrame, domains: DataFrame) -> DataFrame:
-    """Content blocks between headings, page ends and wide gaps, typed (H27 / H28) and hashed (H6)."""
+    """Content blocks between headings, page ends and wide gaps, typed, with payload (H27 / H28), and hashed (H6)."""
     rows = assigned.withColumn("plain", F.col("kind").isNull() & ~F.col("taken"))
     height = F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
 
@@ -167,7 +167,7 @@ def content_nodes(assigned: DataFrame, domains: DataFrame) -> DataFrame:
     typed = grouped.join(domains, "book_id").withColumn("node_type", block_type(F.col("content_text"), F.col("domain")))
     return typed.withColumn("title", block_title(F.col("node_type"), F.col("content_text"))).withColumn(
         "content_hash", content_hash(F.col("content_text"))
-    )
+    ).withColumn("payload", block_payload(F.col("node_type"), F.col("content_text")))
 
 
 def content_ordinals(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from folio.functions import titles
 from folio.functions.classify import solid_lines
 from folio.functions.text import WORD_END, WORD_START, clean_heading
 from folio.operators.ordered import first_per, numbered, page_cover, scan
-from folio.operators.tree import quality_gate
+from folio.operators.tree import quality_gate, remap_scopes
 
 # Outline titles that name print sheets, and titles that are exercises.
 PRINT_SHEET = "(?i)" + WORD_START + "(forma|cover|inner|plate|blank)" + WORD_END
@@ -220,16 +220,25 @@ def contents(parsed: DataFrame, outline: DataFrame, usable: DataFrame, labels: D
 
 
 def candidate_tree(parsed: DataFrame) -> DataFrame:
-    """I8: units and lessons of the contents as tree nodes."""
-    rows = parsed.filter("kind in ('unit', 'lesson')")
-    unit_id = F.concat_ws("-", "book_id", "home_unit")
+    """I8: units and lessons of the contents as tree nodes, each on the page its entry names.
+
+    `ordinal` counts the children of a parent (the units of a version) as listed, `place` all nodes of a version, each before its children.
+    """
+    listed = contents_order(parsed.filter("kind in ('unit', 'lesson')"))
+    roots = listed.filter("kind = 'unit'").select("book_id", "home_unit", F.col("position").alias("root"))
     is_unit = F.col("kind") == "unit"
-    return rows.select(
+    placed = numbered(
+        listed.join(roots, ["book_id", "home_unit"], "left").withColumn("depth", F.when(is_unit, F.lit(0)).otherwise(F.lit(1)).cast("bigint")),
+        ["book_id"], F.floor(F.coalesce("root", F.lit(0)) / 64), [F.coalesce("root", F.lit(0)), F.col("depth"), F.col("position")], "place",
+    )
+    unit_id = F.concat_ws("-", "book_id", "home_unit")
+    return placed.select(
         F.col("book_id").alias("version_id"),
         F.when(is_unit, unit_id).otherwise(F.concat_ws("-", "book_id", "home_unit", "unit_no", "lesson_no")).alias("node_id"),
-        F.when(~is_unit, unit_id).alias("parent_id"), F.col("label").alias("title"), F.col("page_no").alias("start_page"),
-        F.lit(None).cast("bigint").alias("end_page"),
-        F.when(is_unit, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("depth"),
+        F.when(~is_unit, unit_id).alias("parent_id"),
+        F.when(is_unit, "unit").when(F.lower("label").contains("exercise"), "exercise").otherwise("lesson").alias("node_type"),
+        F.col("label").alias("title"), F.col("position").alias("ordinal"), F.col("page_no").alias("start_page"), F.col("page_no").alias("end_page"),
+        "depth", "place",
     )
 
 
@@ -240,3 +249,19 @@ def refresh_structure(old: DataFrame, candidates: DataFrame, page_counts: DataFr
     fresh = candidates.join(passed, "version_id", "left_semi").withColumn("origin", F.lit("refreshed"))
     cols = ["version_id", "node_id", "parent_id", "title", "start_page", "depth", "origin"]
     return kept.select(*cols).union(fresh.select(*cols))
+
+
+def remap_references(references: DataFrame, old: DataFrame, candidates: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """J4 with C14: rows that name a node of a replaced tree name a node of the new one.
+
+    `references` have version_id, node_id and any other columns. Where the candidate passes the gate, a known old node becomes the first
+    new node with its title, else on its start page, else the first of the version; all other rows stay as they are. `moved` says
+    which. Nodes are mapped once each, then looked up, so a node that many rows name is one row of the map.
+    """
+    passed = quality_gate(candidates, page_counts).filter("status = 'VALID'").select("version_id")
+    fresh = candidates.select("version_id", "node_id", "title", "start_page", F.col("place").alias("ordinal"))
+    plan = remap_scopes(old.join(passed, "version_id", "left_semi"), fresh)
+    met = references.join(plan, ["version_id", "node_id"], "left")
+    moved = F.col("new_node_id").isNotNull()
+    rest = [c for c in references.columns if c not in ("version_id", "node_id")]
+    return met.select("version_id", F.coalesce("new_node_id", "node_id").alias("node_id"), *rest, moved.alias("moved"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import classify
+from folio.functions.numbers import strip_space
+from folio.operators import coverage
 from folio.operators import structure as S
 from folio.plans import duck
 from folio.plans.registry import query
@@ -178,6 +180,20 @@ def h28(spark, sf):
 TURN_SQL = "^([A-Z][a-zA-Z\\s]{1,20})\\s*:\\s*(.*)$"
 
 
+@query("H27_payload", f"""WITH m AS (SELECT doc_id, {CLASSIFIED} AS t FROM documents), n AS (SELECT doc_id, {TRIMMED} AS t FROM m), l AS (SELECT doc_id, t, {LINES_OF} AS ls FROM n),
+k AS (SELECT doc_id, t, ls, {lang_sql('t', 'ls', 'ls[1]', 'len(ls)')} AS node_type FROM l),
+p AS (SELECT doc_id, node_type, list_transform(ls, lambda x: CASE WHEN trim(regexp_extract(x, '{TURN_SQL}', 1)) <> '' THEN {{'speaker': trim(regexp_extract(x, '{TURN_SQL}', 1)), 'utterance': trim(regexp_extract(x, '{TURN_SQL}', 2))}}
+   ELSE {{'speaker': 'narrator', 'utterance': x}} END) AS turns, list_filter(list_transform(ls, lambda x: trim(regexp_extract(x, '{TURN_SQL}', 1))), lambda x: x <> '') AS sp,
+  regexp_extract_all(t, '{sql_lit(classify.TERM)}', 1) AS te, regexp_extract_all(t, '{sql_lit(classify.TERM)}', 2) AS me FROM k)
+SELECT doc_id, node_type, CASE WHEN node_type = 'dialogue' THEN CAST(to_json({{'speakers': list_filter(sp, lambda x, i: list_position(sp, x) = i), 'turns': turns}}) AS VARCHAR)
+  WHEN node_type = 'vocabulary' AND len(te) > 0 THEN CAST(to_json({{'terms': list_transform(range(1, len(te) + 1), lambda i: {{'term': regexp_replace(te[i], '^\\s+|\\s+$', '', 'g'), 'meaning': regexp_replace(me[i], '^\\s+|\\s+$', '', 'g')}})}}) AS VARCHAR) END AS payload FROM p""")
+def h27_payload(spark, sf):
+    t = F.expr(CLASSIFIED.replace("chr(10)", "char(10)"))
+    rows = table(spark, sf, "documents").select("doc_id", strip_space(t).alias("t"))
+    typed = rows.withColumn("node_type", classify.block_type(F.col("t"), F.lit("LANGUAGE")))
+    return typed.select("doc_id", "node_type", classify.block_payload(F.col("node_type"), F.col("t")).alias("payload"))
+
+
 @query("D12_speakers", f"""WITH m AS (SELECT doc_id, {CLASSIFIED} AS t FROM documents), l AS (SELECT doc_id, unnest({LINES_OF}) AS x, generate_subscripts({LINES_OF}, 1) AS i FROM m),
 s AS (SELECT doc_id, trim(regexp_extract(x, '{TURN_SQL}', 1)) AS sp, min(i) AS i FROM l WHERE regexp_matches(x, '{TURN_SQL}') GROUP BY 1, 2)
 SELECT doc_id, string_agg(sp, ',' ORDER BY i) AS speakers FROM s WHERE sp <> '' GROUP BY 1""")
@@ -210,3 +226,22 @@ def c22(spark, sf):
         "book_id", "unit_no", "lesson_no", F.col("number").alias("lesson_number"), F.col("title").alias("lesson_title")
     )
     return units.join(lessons, ["book_id", "unit_no"], "left")
+
+
+@query("C3_keyed_content", f"""WITH {NODES_SQL}, {TREE_NODES[len(UNITS) + 1:]}, sc AS (SELECT book_id, concat_ws('-', book_id, unit_no) AS node_id, unit_no, NULL::BIGINT AS lesson_no FROM units
+  UNION ALL SELECT book_id, concat_ws('-', book_id, unit_no, lesson_no), unit_no, lesson_no FROM lessons)
+SELECT n.book_id AS version_id, sc.node_id, page_no, n.node_no FROM nodes n JOIN sc ON sc.book_id = n.book_id AND sc.unit_no = n.unit_no AND (sc.lesson_no IS NULL OR sc.lesson_no = n.lesson_no)
+UNION ALL SELECT book_id, 'legacy_all', page_no, node_no FROM nodes WHERE book_id NOT IN (SELECT book_id FROM cn WHERE node_type = 'chapter')""")
+def c3_keyed(spark, sf):
+    """Scopes by key; and for books without a tree of chapters all they hold."""
+    assigned, last = _assigned(spark, sf), _last(spark, sf)
+    units, lessons = S.unit_rows(assigned, last), S.lesson_rows(assigned, last)
+    chapters = S.curriculum_nodes(units, lessons, domains(spark, sf)).filter("node_type = 'chapter'").select(F.col("book_id").alias("version_id"))
+    content = cut(S.content_nodes(assigned, domains(spark, sf)), "content").select(F.col("book_id").alias("version_id"), "unit_no", "lesson_no", "page_no", "node_no")
+    version = F.col("book_id").alias("version_id")
+    selected = units.select(version, F.concat_ws("-", "book_id", "unit_no").alias("node_id"), "unit_no", F.lit(None).cast("bigint").alias("lesson_no")).union(
+        lessons.select(version, F.concat_ws("-", "book_id", "unit_no", "lesson_no"), "unit_no", "lesson_no")
+    )
+    versions = domains(spark, sf).select(version)
+    cols = ["version_id", "node_id", "page_no", "node_no"]
+    return coverage.keyed_content(selected, content).select(*cols).union(coverage.treeless_content(versions, chapters, content).select(*cols))

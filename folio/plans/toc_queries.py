@@ -223,3 +223,36 @@ def j4(spark, sf):
     )
     return toc.refresh_structure(old, cand, counts)
 
+
+PLACED = f"""{CAND_TREE}, cl AS (SELECT p.*, row_number() OVER (PARTITION BY book_id, CASE WHEN kind = 'unit' THEN -1 ELSE home_unit END ORDER BY page_no, CASE WHEN kind = 'unit' THEN home_unit ELSE lesson_no END, coalesce(unit_no, 0)) AS ordinal
+  FROM ptoc p WHERE kind <> 'exercise'), cu AS (SELECT book_id, home_unit, ordinal AS root FROM cl WHERE kind = 'unit'),
+cd8 AS (SELECT book_id AS version_id, CASE WHEN kind = 'unit' THEN concat_ws('-', book_id, home_unit) ELSE concat_ws('-', book_id, home_unit, unit_no, lesson_no) END AS node_id,
+  CASE WHEN kind <> 'unit' THEN concat_ws('-', book_id, home_unit) END AS parent_id, CASE WHEN kind = 'unit' THEN 'unit' WHEN contains(lower(label), 'exercise') THEN 'exercise' ELSE 'lesson' END AS node_type,
+  label AS title, ordinal, page_no AS start_page, page_no AS end_page, CASE WHEN kind = 'unit' THEN 0 ELSE 1 END::BIGINT AS depth,
+  row_number() OVER (PARTITION BY book_id ORDER BY root, kind <> 'unit', ordinal) AS place FROM cl JOIN cu USING (book_id, home_unit))"""
+
+
+@query("I8_candidate_nodes", f"WITH {PLACED} SELECT * FROM cd8")
+def i8_nodes(spark, sf):
+    return _candidate(spark, sf)[2]
+
+
+@query("J4_reference_remap", f"""WITH {PLACED}, refs AS (SELECT book_id AS version_id, concat(page_no, '/', node_no) AS question_id, concat_ws('-', book_id, unit_no) AS node_id FROM nodes
+   UNION ALL SELECT book_id, concat('unknown ', book_id), 'gone' FROM pc),
+old AS (SELECT book_id AS version_id, concat_ws('-', book_id, unit_no) AS node_id, title, start_page FROM units),
+bt AS (SELECT o.version_id, o.node_id, arg_min(c.node_id, c.place) AS id FROM old o JOIN cd8 c ON c.version_id = o.version_id AND lower(trim(c.title)) = lower(trim(o.title)) GROUP BY 1, 2),
+bp AS (SELECT o.version_id, o.node_id, arg_min(c.node_id, c.place) AS id FROM old o JOIN cd8 c ON c.version_id = o.version_id AND c.start_page = o.start_page GROUP BY 1, 2),
+b1 AS (SELECT version_id, arg_min(node_id, place) AS id FROM cd8 GROUP BY 1),
+pm AS (SELECT o.version_id, o.node_id, coalesce(bt.id, bp.id, b1.id) AS id FROM old o LEFT JOIN bt ON bt.version_id = o.version_id AND bt.node_id = o.node_id LEFT JOIN bp ON bp.version_id = o.version_id AND bp.node_id = o.node_id
+  LEFT JOIN b1 ON b1.version_id = o.version_id WHERE o.version_id IN (SELECT version_id FROM gate WHERE status = 'VALID'))
+SELECT r.version_id, question_id, coalesce(pm.id, r.node_id) AS node_id, pm.id IS NOT NULL AS moved FROM refs r LEFT JOIN pm ON pm.version_id = r.version_id AND pm.node_id = r.node_id""")
+def j4_remap(spark, sf):
+    units, lessons, nodes, labels, counts = _parsed(spark, sf, False)
+    cand = cut(toc.candidate_tree(toc.parsed_contents(units, lessons, nodes, labels)), "candidates")
+    counts = counts.withColumnRenamed("book_id", "version_id")
+    old = units.select(F.col("book_id").alias("version_id"), F.concat_ws("-", "book_id", "unit_no").alias("node_id"), "title", "start_page")
+    references = nodes.select(
+        F.col("book_id").alias("version_id"), F.concat_ws("-", "book_id", "unit_no").alias("node_id"),
+        F.concat(F.col("page_no").cast("string"), F.lit("/"), F.col("node_no").cast("string")).alias("question_id"),
+    ).union(counts.select("version_id", F.lit("gone"), F.concat(F.lit("unknown "), F.col("version_id").cast("string"))))
+    return toc.remap_references(references, old, cand, counts)
