@@ -231,12 +231,12 @@ def c22(spark, sf):
 @query("C3_keyed_content", f"""WITH {NODES_SQL}, {TREE_NODES[len(UNITS) + 1:]}, sc AS (SELECT book_id, concat_ws('-', book_id, unit_no) AS node_id, unit_no, NULL::BIGINT AS lesson_no FROM units
   UNION ALL SELECT book_id, concat_ws('-', book_id, unit_no, lesson_no), unit_no, lesson_no FROM lessons)
 SELECT n.book_id AS version_id, sc.node_id, page_no, n.node_no FROM nodes n JOIN sc ON sc.book_id = n.book_id AND sc.unit_no = n.unit_no AND (sc.lesson_no IS NULL OR sc.lesson_no = n.lesson_no)
-UNION ALL SELECT book_id, 'legacy_all', page_no, node_no FROM nodes WHERE book_id NOT IN (SELECT book_id FROM cn WHERE node_type = 'chapter')""")
+UNION ALL SELECT book_id, 'legacy_all', page_no, node_no FROM nodes WHERE book_id NOT IN (SELECT book_id FROM cn WHERE node_type = 'unit')""")
 def c3_keyed(spark, sf):
-    """Scopes by key; and for books without a tree of chapters all they hold."""
+    """Scopes by key; and for books without a tree of units all they hold."""
     assigned, last = _assigned(spark, sf), _last(spark, sf)
     units, lessons = S.unit_rows(assigned, last), S.lesson_rows(assigned, last)
-    chapters = S.curriculum_nodes(units, lessons, domains(spark, sf)).filter("node_type = 'chapter'").select(F.col("book_id").alias("version_id"))
+    own_tree = S.curriculum_nodes(units, lessons, domains(spark, sf)).filter("node_type = 'unit'").select(F.col("book_id").alias("version_id"))
     content = cut(S.content_nodes(assigned, domains(spark, sf)), "content").select(F.col("book_id").alias("version_id"), "unit_no", "lesson_no", "page_no", "node_no")
     version = F.col("book_id").alias("version_id")
     selected = units.select(version, F.concat_ws("-", "book_id", "unit_no").alias("node_id"), "unit_no", F.lit(None).cast("bigint").alias("lesson_no")).union(
@@ -244,4 +244,4 @@ def c3_keyed(spark, sf):
     )
     versions = domains(spark, sf).select(version)
     cols = ["version_id", "node_id", "page_no", "node_no"]
-    return coverage.keyed_content(selected, content).select(*cols).union(coverage.treeless_content(versions, chapters, content).select(*cols))
+    return coverage.keyed_content(selected, content).select(*cols).union(coverage.treeless_content(versions, own_tree, content).select(*cols))
