@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from folio.functions.text import stem_key
 from folio.operators.ordered import numbered
-from folio.runtime import cut, fan_out
+from folio.runtime import cut, discard, fan_out, together
 
 # Words that say nothing about what a question asks.
 STOP_WORDS = (
@@ -249,56 +249,58 @@ def greedy_filter(
     """In order, keep a candidate unless it repeats one that was kept.
 
     Exact repeats fall to one aggregate. The rest is taken in ranges of the
-    order: what matches a kept stem is dropped first, so a large group of near
+    order inside each key, all keys at once, so many small keys are one range: what matches a kept stem is dropped first, so a large group of near
     copies costs one comparison each with its kept member, not all pairs. If
     the survivors of a range could still meet in too many pairs, the range is
     halved, so its first half can thin out the second. Inside a range, rounds
     accept every stem without a live earlier neighbour and drop its later
-    neighbours. Each step is a written table, so lost executors cost one step.
+    neighbours. Each step is a written table, so lost executors cost one step;
+    what was kept is read as one scan, so plans do not grow with the ranges.
     """
     keys = list(keys or [])
     firsts = distinct_stems(candidates, keys)
-    placed = numbered(firsts, [], F.floor(F.col("seq") / 65536), [F.col("seq"), *[F.col(k) for k in keys]], "place")
+    placed = numbered(firsts, keys, F.floor(F.col("seq") / 65536), [F.col("seq")], "place")
     stems = cut(describe(fan_out(placed, "seq"), keys, with_ratio), "stems")
-    total = stems.count()
+    total = stems.agg(F.max("place")).first()[0] or 0
     ranges: list[tuple[int, int]] = []
     low, width = 1, max(smallest, 1)
     while low <= total:
         ranges.append((low, min(total, low + width - 1)))
         low, width = low + width, width * 2
     ranges.reverse()
-    kept: DataFrame | None = None
+    kept: list[DataFrame] = []
     while ranges:
         low, high = ranges.pop()
         live = stems.filter(F.col("place").between(low, high))
-        if kept is not None:
-            hit = matches(live, kept, keys, False, with_ratio).select(*keys, F.col("later_seq").alias("seq")).distinct()
+        if kept:
+            hit = matches(live, together(kept), keys, False, with_ratio).select(*keys, F.col("later_seq").alias("seq")).distinct()
             live = live.join(hit, [*keys, "seq"], "left_anti")
         live = cut(live, "live")
         size = live.count()
         if size == 0:
             continue
-        if high - low + 1 > smallest and (pair_budget(live, keys).first()[0] or 0) > pairs_per_row * size:
+        if high > low and size > smallest and (pair_budget(live, keys).first()[0] or 0) > pairs_per_row * size:
             middle = (low + high) // 2
             ranges += [(middle + 1, high), (low, middle)]
+            discard(live)
             continue
         edges = cut(matches(live, live, keys, True, with_ratio), "edges")
-        won = _independent(live, edges, keys)
-        kept = won if kept is None else kept.union(won)
-    if kept is None:
+        kept.append(cut(_independent(live, edges, keys), "kept"))
+        discard(live, edges)
+    if not kept:
         return firsts.select(*keys, "seq")
-    return kept.select(*keys, "seq")
+    return together(kept).select(*keys, "seq")
 
 
 def _independent(live: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Stems kept by the greedy rule among `live`, given all near pairs among them."""
     ids = [*keys, "seq"]
     open_ids = live.select(*ids)
-    accepted: DataFrame | None = None
+    accepted: list[DataFrame] = []
     while True:
         blocked = edges.select(*keys, F.col("later_seq").alias("seq")).distinct()
         free = cut(open_ids.join(blocked, ids, "left_anti"), "free")
-        accepted = free if accepted is None else accepted.union(free)
+        accepted.append(free)
         free_early = free.withColumnRenamed("seq", "early_seq")
         hit = edges.join(free_early, [*keys, "early_seq"], "left_semi").select(*keys, F.col("later_seq").alias("seq")).distinct()
         dropped = cut(hit, "dropped")
@@ -311,4 +313,4 @@ def _independent(live: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
             .join(left.withColumnRenamed("seq", "early_seq"), [*keys, "early_seq"], "left_semi"),
             "edges",
         )
-    return live.join(accepted, ids, "left_semi")
+    return live.join(together(accepted), ids, "left_semi")

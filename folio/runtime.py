@@ -65,6 +65,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return written
 
 
+def together(steps: list[DataFrame]) -> DataFrame:
+    """Tables of equal columns that `cut` wrote as one scan; a union of many would grow the plan with each."""
+    first = steps[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[s.step_path for s in steps])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `cut` wrote, once everything that reads them has been written itself."""
     for step in tables:
