@@ -210,11 +210,16 @@ def distinct_stems(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.groupBy(*keys, "stem_key").agg(F.min("seq").alias("seq"))
 
 
+def _told_apart() -> Column:
+    """What names a stem of two sides: several seen stems may share a place, and the digits of one must not stand for another's."""
+    return F.struct("side", "seq", F.xxhash64("stem_key").alias("h"))
+
+
 def seen_at(candidates: DataFrame, seen: DataFrame, keys: list[str], with_ratio: bool = True) -> DataFrame:
     """(keys, stem_key, exact_at, near_at): the first place among `seen` of an equal and of a near equal stem."""
     cand, old = distinct_stems(candidates, keys), distinct_stems(seen, keys)
     tagged = cand.select("*", F.lit(0).alias("side")).union(old.select("*", F.lit(1).alias("side")))
-    both = cut(describe(fan_out(tagged.withColumn("seq", F.struct("side", "seq")), "seq"), keys, with_ratio), "stems")
+    both = cut(describe(fan_out(tagged.withColumn("seq", _told_apart()), "seq"), keys, with_ratio), "stems")
     near = matches(both.filter("seq.side = 0"), both.filter("seq.side = 1"), keys, False, with_ratio)
     first = near.groupBy(*keys, F.col("later_seq.seq").alias("seq")).agg(F.min("early_seq.seq").alias("near_at"))
     return cand.join(first, [*keys, "seq"], "left").drop("seq").join(old.withColumnRenamed("seq", "exact_at"), [*keys, "stem_key"], "left")
@@ -228,7 +233,7 @@ def first_match(candidates: DataFrame, seen: DataFrame, keys: list[str], with_ra
     """
     cand, old = distinct_stems(candidates, keys), distinct_stems(seen, keys)
     tagged = cand.select("*", F.lit(0).alias("side")).union(old.select("*", F.lit(1).alias("side")))
-    both = cut(describe(fan_out(tagged.withColumn("seq", F.struct("side", "seq")), "seq"), keys, with_ratio), "stems")
+    both = cut(describe(fan_out(tagged.withColumn("seq", _told_apart()), "seq"), keys, with_ratio), "stems")
     near = matches(both.filter("seq.side = 0"), both.filter("seq.side = 1"), keys, False, with_ratio)
     exact = cand.join(old.withColumnRenamed("seq", "early"), [*keys, "stem_key"]).select(
         *keys, F.col("seq").alias("later"), "early", F.lit(True).alias("is_exact")
