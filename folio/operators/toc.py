@@ -10,6 +10,7 @@ from folio.functions.classify import solid_lines
 from folio.functions.text import WORD_END, WORD_START, clean_heading
 from folio.operators.ordered import first_per, numbered, page_cover, scan
 from folio.operators.tree import quality_gate, remap_scopes
+from folio.runtime import cut
 
 # Outline titles that name print sheets, and titles that are exercises.
 PRINT_SHEET = "(?i)" + WORD_START + "(forma|cover|inner|plate|blank)" + WORD_END
@@ -176,22 +177,33 @@ def first_labels(named: DataFrame) -> DataFrame:
     ).drop("label_key")
 
 
-def parsed_contents(units: DataFrame, lessons: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """I7 without an outline: units, lessons and exercises with labels (H18) and printed pages (C5), flat."""
-    good = valid_units(units)
-    listed = contents_lessons(good, lessons)
-    found = exercises(nodes, good, listed)
+def listed_contents(units: DataFrame, lessons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units and lessons that the contents list, each written once: what reads them scans them more than once."""
+    good = cut(valid_units(units), "listed-units")
+    return good, cut(contents_lessons(good, lessons), "listed-lessons")
+
+
+def unit_and_lesson_rows(good: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of units and lessons with labels (H18), flat."""
     none = F.lit(None).cast("bigint")
-    rows = (
+    return (
         good.select("book_id", F.col("unit_no").alias("home_unit"), none.alias("unit_no"), none.alias("lesson_no"), F.lit("unit").alias("kind"),
                     titles.contents_label(F.col("number"), F.col("label"), F.col("title")).alias("label"),
                     F.col("start_page").alias("page_no"), none.alias("node_no"))
         .union(listed.select("book_id", "home_unit", "unit_no", "lesson_no", F.lit("lesson"),
                              titles.lesson_label(F.col("number"), F.col("title")), "start_page", none))
-        .union(found.select("book_id", "home_unit", "unit_no", "lesson_no", F.lit("exercise"), "label", "page_no", "node_no"))
+    )
+
+
+def parsed_contents(units: DataFrame, lessons: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """I7 without an outline: units, lessons and exercises with labels (H18) and printed pages (C5), flat."""
+    good, listed = listed_contents(units, lessons)
+    found = exercises(nodes, good, listed)
+    rows = unit_and_lesson_rows(good, listed).union(
+        found.select("book_id", "home_unit", "unit_no", "lesson_no", F.lit("exercise"), "label", "page_no", "node_no")
     )
     printed = labels.select("book_id", "page_no", F.col("label").alias("printed_page"))
-    return rows.join(printed, ["book_id", "page_no"], "left")
+    return cut(rows.join(printed, ["book_id", "page_no"], "left"), "parsed")
 
 
 def contents_order(toc: DataFrame) -> DataFrame:
@@ -219,12 +231,12 @@ def contents(parsed: DataFrame, outline: DataFrame, usable: DataFrame, labels: D
     return a.union(b)
 
 
-def candidate_tree(parsed: DataFrame) -> DataFrame:
-    """I8: units and lessons of the contents as tree nodes, each on the page its entry names.
+def candidate_tree(units: DataFrame, lessons: DataFrame) -> DataFrame:
+    """I8: units and lessons of the contents as tree nodes, each on the page its entry names; content nodes play no part.
 
     `ordinal` counts the children of a parent (the units of a version) as listed, `place` all nodes of a version, each before its children.
     """
-    listed = contents_order(parsed.filter("kind in ('unit', 'lesson')"))
+    listed = cut(contents_order(cut(unit_and_lesson_rows(*listed_contents(units, lessons)), "parsed")), "ordered")
     roots = listed.filter("kind = 'unit'").select("book_id", "home_unit", F.col("position").alias("root"))
     is_unit = F.col("kind") == "unit"
     placed = numbered(
