@@ -5,6 +5,8 @@ from pyspark.sql import Row
 from folio.functions import titles
 from folio.operators import structure as S
 from folio.operators import toc
+from folio.plans import readable_queries as Q
+from folio.runtime import cut
 from folio.streaming import jobs
 
 
@@ -89,3 +91,18 @@ def test_a_job_costs_few_calls_and_keeps_one_timer():
     assert held.calls[3:] == ["get", "update"] and held.timers == {9000 + life}
     list(job.handleInputRows((7,), iter([Row(is_accepted=0, ms=12000)]), None))
     assert held.timers == {12000 + life} and held.value == (2, 12000)
+
+
+def test_content_is_built_before_it_is_numbered(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, label="step"):
+        plans[label] = plan_of(df)
+        return cut(df, label)
+
+    monkeypatch.setattr(Q, "cut", noted)
+    lines = spark.createDataFrame([(0, 1, 1, 1, 1, "Rule 1", 0.0, 0.0, 1.0, 1.0, False, None)], "book_id bigint, page_no bigint, line_no bigint, unit_no bigint, "
+                                  "lesson_no bigint, text string, x0 double, y0 double, x1 double, y1 double, taken boolean, kind string")
+    nodes = Q._nodes(lines, spark.createDataFrame([(0, "GENERAL", "Book")], "book_id bigint, domain string, title string"))
+    assert [(r.node_no, r.title) for r in nodes.collect()] == [(1, "grammar_rule")]
+    assert "transform(split(" not in plans["nodes"]
