@@ -12,7 +12,8 @@
    connected to them, the others. Candidates are verified twice: by the low shingles, whose overlap bounds that of the sets and leaves
    few pairs, and by the whole sets. Star contraction makes the links components.
 5. In buckets whose members are not all connected, members of different components meet as well, if the parities of their sets (a bitmap
-   of 512 bits, which bounds in how many shingles they differ) leave the similarity open, and are verified.
+   of 512 bits, which bounds in how many shingles they differ) leave the similarity open, and are verified: first two pairs of each
+   component (the one that differs least, and the one of the smallest nodes), then those whose components these have not connected.
 
 SimHash (op2) finds candidates besides: texts with fingerprints at most 4 of 64 bits apart are linked if their shingles, repeats
 counted, have similarity 0.8 too. SimHash alone does not serve: at similarity 0.8 fingerprints are too far apart for bands and trees.
@@ -95,10 +96,14 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(classes, minlength=64 * PARITIES).astype(np.uint8) & 1).view(np.int64)
 
 
+def differing(one: str, two: str) -> Column:
+    """In how many classes two parities differ."""
+    return reduce(add, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(PARITIES)))
+
+
 def few_differ(one: str, two: str, n: str, m: str) -> Column:
     """Whether sets of sizes n and m with these parities can have similarity LEAST / OF, where they differ in (n + m) / 9 shingles at most."""
-    differing = reduce(add, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(PARITIES)))
-    return differing * (LEAST + OF) <= (F.col(n) + F.col(m)) * (OF - LEAST)
+    return differing(one, two) * (LEAST + OF) <= (F.col(n) + F.col(m)) * (OF - LEAST)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -271,6 +276,13 @@ def print_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return whole_matches(cut(equal.unionByName(near).distinct(), "pairs"), nodes, docs, repeats=True)
 
 
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b): of `pairs` (a, b, root, root_b, off) the one of least `off` and the one of the smallest a and b of each root, at most two a root."""
+    ends = pairs.select("a", "b", "off", F.explode(F.array("root", "root_b")).alias("root"))
+    best = ends.groupBy("root").agg(F.min(F.struct("off", "a", "b")).alias("near"), F.min(F.struct("a", "b")).alias("low"))
+    return best.select(F.explode(F.array(F.struct("near.a", "near.b"), "low")).alias("pair")).select("pair.*").distinct()
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, roots) of `named` rows: sets as `text_sets` gives them, roots (node, root) of all nodes that have a near copy."""
     sets = text_sets(docs)
@@ -298,8 +310,8 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_leader = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
     placed = crowd.join(roots, "node", "left").join(of_leader, "leader", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node")).withColumn("leader_root", F.coalesce("leader_root", "leader"))
-    apart = placed.filter("root <> leader_root").select("bucket").distinct()
-    rows = cut(placed.join(apart, "bucket", "left_semi"), "open")
+    split = placed.filter("root <> leader_root").select("bucket").distinct()
+    rows = cut(placed.join(split, "bucket", "left_semi"), "open")
     heads = rows.select("bucket", F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader_at").alias("at"), F.col("leader_root").alias("root"))
     rows = rows.select("bucket", "node", "n", "at", "root").unionByName(heads).distinct().join(nodes.select("node", "parity"), "node")
     # Two sets whose rows before these share a bucket as well have met there, at earlier places, so they need not meet again.
@@ -308,9 +320,14 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root", "parity", "before")])
     met = left.join(right, "bucket").filter("root <> root_b and n <= n_b").filter(alike("n", "n_b")).filter(in_reach("n", "at", "n_b", "at_b"))
     met = met.filter(F.coalesce(F.col("before") != F.col("before_b"), F.lit(True))).filter(few_differ("parity", "parity_b", "n", "n_b"))
-    pairs = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    sides = F.least("root", "root_b").alias("root"), F.greatest("root", "root_b").alias("root_b")
+    pairs = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), *sides, differing("parity", "parity_b").alias("off"))
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs)
+    pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    first = cut(first_pairs(pairs), "first")
+    links = cut(links.unionByName(verified(first, nodes, docs)), "links")
+    others = apart(pairs.select("a", "b"), cut(components(links), "roots")).join(first, ["a", "b"], "left_anti")
+    more = verified(others, nodes, docs)
     discard(crowd)
     return sets, cut(components(links.unionByName(more)), "roots")
 

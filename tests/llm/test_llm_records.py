@@ -323,3 +323,25 @@ def test_stages_with_clashing_columns_and_without_labels(spark):
     assert corpus_pipeline.pack_stage(spark, wide, "").count() >= 20
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, bare, "").collect()) == [*range(20), 50, 51]
+
+
+def test_near_stage_joins_a_single_text_to_a_group_in_one_pair(spark, monkeypatch):
+    """Each bucket's first set is a fragment unlike all others, so group and late texts meet only pair by pair; the pairs verified stay near the number of texts."""
+    from folio.llm import overlap
+
+    tried = []
+    whole = overlap.verified
+
+    def counted(pairs, nodes, docs):
+        pairs = overlap.cut(pairs, "counted")
+        tried.append(pairs.count())
+        return whole(pairs, nodes, docs)
+
+    monkeypatch.setattr(overlap, "verified", counted)
+    common = [f"c{i}" for i in range(120)]
+    texts = [" ".join([*common, *[f"w{k}x{i}" for i in range(8)]]) for k in range(40)]
+    texts += [" ".join(common[i : i + 5]) for i in range(len(common) - 4)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert kept == [0, *range(40, len(texts))]
+    assert sum(tried) < 4 * 40
