@@ -198,3 +198,14 @@ def test_script_merge(spark):
     df = spark.createDataFrame(spans, "book_id long, page_no long, line_no long, span_no long, text string, size double, x0 double, x1 double, origin_y double")
     got = sorted((r["line_no"], r["out_no"], r["text"], r["latex"], r["raw_text"]) for r in blocks.merge_scripts(df).collect())
     assert got == [(1, 1, "x^2", "x^{2}", "x2"), (1, 2, " + a_n", " + a_{n}", " + an"), (2, 1, "word", None, "word"), (2, 2, "far", None, "far")]
+
+
+def test_words_of_long_lines_are_placed(spark):
+    """Lines are cut into pieces; words, numbers and lengths before them are those of the whole line, blanks in a row included."""
+    from folio.sources.views import line_words
+
+    texts = ["a", "", "ab  c", " " * 7, " ".join("x" * (i % 5) for i in range(20)), "é bb ccc dddd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no long, text string")
+    want = [(k, i, w, len(" ".join(t.split(" ")[:i]))) for k, t in enumerate(texts) for i, w in enumerate(t.split(" "))]
+    for piece in (1, 3, 64):
+        assert sorted((r.line_no, r.i, r.word, r.before) for r in line_words(df, piece).collect()) == sorted(want)
