@@ -106,3 +106,16 @@ def test_content_is_built_before_it_is_numbered(spark, monkeypatch):
     nodes = Q._nodes(lines, spark.createDataFrame([(0, "GENERAL", "Book")], "book_id bigint, domain string, title string"))
     assert [(r.node_no, r.title) for r in nodes.collect()] == [(1, "grammar_rule")]
     assert "transform(split(" not in plans["nodes"]
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    """The files of a step's shuffles go with its write, not with the driver's next garbage collection; the session's setting stays."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, setting = disk.getAllFiles().size(), spark.conf.get(key, None)
+    rows = spark.range(0, 10000, 1, 8).selectExpr("id % 97 AS k").groupBy("k").count()
+    for _ in range(3):
+        assert cut(rows).count() == 97
+        rows = cut(rows).groupBy("k").count()
+    assert disk.getAllFiles().size() - held < 8 * 3
+    assert spark.conf.get(key, None) == setting
