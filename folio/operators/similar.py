@@ -78,6 +78,8 @@ def _gram_prefix(n: Column, q: int) -> Column:
 SHORT = 10
 # Characters counted one by one for the bound on the ratio.
 LETTERS = ascii_lowercase + digits_0_9
+# Stems of a key that are few enough to be paired by their digits alone, at most half as many pairs a stem.
+FEW = 64
 # Elements whose frequency is looked up; beyond them all are rare enough to be ordered by their hash.
 FREQUENT = 10_000
 
@@ -88,7 +90,8 @@ def describe(stems: DataFrame, keys: list[str], with_ratio: bool = True) -> Data
     Any total order of elements is exact; a good one puts frequent elements
     last. Only the FREQUENT commonest are ranked, so their table has a fixed
     bound and is broadcast, and a word found in every stem is never a shuffle
-    key here. An element list never outgrows its own stem.
+    key here. An element list never outgrows its own stem. Stems of a key that has
+    FEW at most have no list (null): their pairs are fewer than their elements.
     """
     base = stems.withColumn("nums", F.array_join(F.regexp_extract_all("stem_key", F.lit(r"(\d+)"), 1), ",")).withColumn(
         "words", content_words(F.col("stem_key"))
@@ -101,7 +104,9 @@ def describe(stems: DataFrame, keys: list[str], with_ratio: bool = True) -> Data
         short = F.when(size <= SHORT, _grams(F.col("stem_key"), 1)).otherwise(F.array().cast("array<string>"))
         kinds.append(F.struct(_grams(F.col("stem_key"), GRAM).alias("es"), _gram_prefix(size, GRAM).alias("take")))
         kinds.append(F.struct(short.alias("es"), _gram_prefix(size, 1).alias("take")))
-    listed = base.select(*keys, "seq", F.posexplode(F.array(*kinds)).alias("kind", "k"))
+    many = stems.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select(*keys) if keys else None
+    crowded = base if many is None else base.join(many, keys, "left_semi")
+    listed = crowded.select(*keys, "seq", F.posexplode(F.array(*kinds)).alias("kind", "k"))
     elements = listed.select(*keys, "seq", "kind", F.col("k.take").alias("take"), F.explode("k.es").alias("e"))
     top = elements.groupBy("e").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "e").limit(FREQUENT)
     ranked = elements.join(F.broadcast(top), "e", "left").select(
@@ -110,7 +115,11 @@ def describe(stems: DataFrame, keys: list[str], with_ratio: bool = True) -> Data
     rare = ranked.groupBy(*keys, "seq", "kind", "take").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     chosen = rare.select(*keys, "seq", F.transform(F.slice("rs", F.lit(1), F.col("take")), lambda x: x["h"]).alias("look"))
     looks = chosen.groupBy(*keys, "seq").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("look")))).alias("look"))
-    return base.join(looks, [*keys, "seq"], "left").withColumn("look", F.coalesce("look", F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    found = crowded.join(looks, [*keys, "seq"], "left").withColumn("look", F.coalesce("look", none))
+    if many is None:
+        return found
+    return found.unionByName(base.join(many, keys, "left_anti").withColumn("look", F.lit(None).cast("array<bigint>")))
 
 
 def _digit_keys(side: str) -> Column:
@@ -132,6 +141,7 @@ def _blocks(described: DataFrame, keys: list[str], side: str) -> DataFrame:
 def _costs(later: DataFrame, early: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, dk, by_element, by_digits): rows that pairing a digit key by elements, or by the digits alone, would make."""
     group = [*keys, "dk"]
+    later, early = later.filter("look is not null"), early.filter("look is not null")
 
     def sizes(df: DataFrame, on: list[str], name: str) -> DataFrame:
         return df.groupBy(*on).agg(F.count("*").alias(name))
@@ -171,24 +181,32 @@ def matches(
     Stems with equal digits are paired either by common elements or by their digits alone, whichever makes
     fewer rows for that digit key; both look at every pair that can match. Look-up rows
     hold identifiers only; texts join the pairs that are left, and only those whose lengths and letter
-    counts allow the ratio reach the matcher. `ordered` keeps only pairs whose early side comes first (a self-join).
+    counts allow the ratio reach the matcher. Keys of FEW stems have no elements and are paired by digits. `ordered` keeps only pairs whose early side comes first (a self-join).
     """
     group = [*keys, "dk"]
     direct = cut(_costs(later, early, keys).filter("by_digits <= by_element").select(*group), "direct")
     in_order = F.col("early_seq") < F.col("later_seq") if ordered else F.lit(True)
 
-    a = _blocks(later, keys, "later").join(direct, group, "left_anti")
-    joined = a.join(_blocks(early, keys, "early"), [*group, "e"]).filter(in_order)
+    listed = [df.filter("look is not null") for df in (later, early)]
+    a = _blocks(listed[0], keys, "later").join(direct, group, "left_anti")
+    joined = a.join(_blocks(listed[1], keys, "early"), [*group, "e"]).filter(in_order)
     once = F.array_min(F.array_intersect("later_look", "early_look")) == F.col("e")
     by_element = joined.filter(once).select(*keys, "later_seq", "early_seq")
     digits = F.concat(F.lit("="), "nums").alias("dk")
-    x = later.select(*keys, F.col("seq").alias("later_seq"), digits).join(direct, group, "left_semi")
-    by_digits = x.join(early.select(*keys, F.col("seq").alias("early_seq"), digits), group).filter(in_order).select(*keys, "later_seq", "early_seq")
+    x = listed[0].select(*keys, F.col("seq").alias("later_seq"), digits).join(direct, group, "left_semi")
+    by_digits = x.join(listed[1].select(*keys, F.col("seq").alias("early_seq"), digits), group).filter(in_order).select(*keys, "later_seq", "early_seq")
 
-    pairs = by_element.union(by_digits)
+    pairs, few = by_element.union(by_digits), []
     for side, df in (("later", later), ("early", early)):
-        texts = df.select(*keys, F.col("seq").alias(f"{side}_seq"), F.col("stem_key").alias(f"{side}_key"), F.col("words").alias(f"{side}_words"))
-        pairs = pairs.join(texts, [*keys, f"{side}_seq"])
+        texts = df.select(
+            *keys, F.col("seq").alias(f"{side}_seq"), F.col("stem_key").alias(f"{side}_key"), F.col("words").alias(f"{side}_words"),
+            _digit_keys(side).alias("dk"), "look",
+        )
+        pairs = pairs.join(texts.filter("look is not null").drop("dk", "look"), [*keys, f"{side}_seq"])
+        # Stems of small keys bring their texts along; an empty one has no element, so it matches nothing.
+        small = texts.filter(F.col("look").isNull() & (F.col(f"{side}_key") != "")).drop("look")
+        few.append(small.withColumn("dk", F.explode("dk")))
+    pairs = pairs.unionByName(few[0].join(few[1], group).filter(in_order).drop("dk"))
     common = F.size(F.array_intersect("later_words", "early_words"))
     overlap = F.try_divide(common.cast("double"), (F.size("later_words") + F.size("early_words") - common).cast("double"))
     judged = pairs.withColumn("by_words", F.coalesce(overlap >= JACCARD, F.lit(False)))

@@ -252,3 +252,19 @@ def test_seen_stems_of_one_place_are_told_apart(spark):
     assert [(r.seq, r.first_seen) for r in similar.first_match(cand, seen, [], with_ratio=False).collect()] == [(11, -1)]
     at = {r.stem_key: r.near_at for r in similar.seen_at(cand, seen, [], with_ratio=False).collect()}
     assert sorted(at.values(), key=str) == [-1, None]
+
+
+def test_small_keys_are_paired_by_digits_without_elements(spark):
+    """Stems of a key of few get no elements, and matches are those that the elements find where one key holds all of them."""
+    stems = ["", "5^2 = 25", "What is the square of 7 for the red box?", "What is the square of 7 for the red boxes?", "What is the square of 8 for the red box?",
+             "Name the largest red box of all", "Name the largest red box of 7", "Name the largest red boxes of all", "ab", "ac"]
+    rows = [(i, "j", s) for i, s in enumerate(stems)]
+    df = spark.createDataFrame(rows, "seq bigint, job_id string, stem string")
+    described = similar.describe(similar.distinct_stems(df, ["job_id"]), ["job_id"])
+    assert described.filter("look is not null").count() == 0
+    plain = similar.describe(similar.distinct_stems(df, []), [])
+    assert plain.filter("look is null").count() == 0
+    for ordered in (True, False):
+        got = [(r.later_seq, r.early_seq) for r in similar.matches(described, described, ["job_id"], ordered).collect()]
+        want = [(r.later_seq, r.early_seq) for r in similar.matches(plain, plain, [], ordered).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 2
