@@ -119,3 +119,16 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
         rows = cut(rows).groupBy("k").count()
     assert disk.getAllFiles().size() - held < 8 * 3
     assert spark.conf.get(key, None) == setting
+
+
+def test_places_of_content_need_no_texts(spark):
+    """Lines marked without texts give the blocks of `content_nodes`, blank ones left out, and the scans below them carry no text."""
+    lines = book(spark).union(spark.createDataFrame([(0, 4, 1, " \t", 11.0, False, 72.0, 40.0, 74.0, 51.0), (0, 4, 2, "Table of Contents", 11.0, False, 72.0, 99.0, 74.0, 110.0)], book(spark).schema))
+    domains = lines.selectExpr("book_id", "'GENERAL' AS domain", "'Book' AS title").distinct()
+    cols = ["book_id", "page_no", "node_no", "unit_no", "lesson_no", "x0", "y0", "x1", "y1"]
+    marked = S.mark_places(lines)
+    windows = [line for line in plan_of(marked.drop("title")).split("\n") if "Window" in line or "Aggregate" in line]
+    assert windows and not any("text#" in line for line in windows)
+    places = S.content_places(S.assign_headings(cut(marked))).select(*cols).orderBy(*cols[:3]).collect()
+    assert places == S.content_nodes(S.assign_headings(cut(S.mark_headings(lines))), domains).select(*cols).orderBy(*cols[:3]).collect()
+    assert len(places) >= 2
