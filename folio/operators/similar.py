@@ -23,7 +23,10 @@ are left.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from string import ascii_lowercase
 from string import digits as digits_0_9
 
@@ -52,6 +55,48 @@ def content_words(key: Column) -> Column:
     )
 
 
+def digits_of(key: Column) -> Column:
+    """The digit sequences of a text, in order."""
+    return F.array_join(F.regexp_extract_all(key, F.lit(r"(\d+)"), 1), ",")
+
+
+@dataclass
+class Stem:
+    """A stem of a job that is walked in one task."""
+
+    stem_key: str
+    seq: int | None
+    passes: int | None
+    seeded: bool
+    nums: str
+    words: list[str]
+
+    @cached_property
+    def word_set(self) -> frozenset[str]:
+        return frozenset(self.words)
+
+    @cached_property
+    def letters(self) -> Counter[str]:
+        return Counter(self.stem_key)
+
+
+def alike(later: Stem, early: Stem, with_ratio: bool = True) -> bool:
+    """C18 for one pair, as `matches` has it; what bounds the ratio is tried before the matcher."""
+    if (later.nums and early.nums and later.nums != early.nums) or not (later.stem_key and early.stem_key):
+        return False
+    common = len(later.word_set & early.word_set)
+    either = len(later.word_set) + len(early.word_set) - common
+    if either and common / either >= JACCARD:
+        return True
+    if not with_ratio:
+        return False
+    a, b = later.stem_key, early.stem_key
+    size = len(a) + len(b)
+    if 2 * min(len(a), len(b)) / size < RATIO or 2 * sum((later.letters & early.letters).values()) / size < RATIO:
+        return False
+    return difflib.SequenceMatcher(None, a, b).ratio() >= RATIO
+
+
 def _grams(key: Column, q: int) -> Column:
     """Character q-grams, each with how often it occurred before, so that repeats count."""
     n = F.length(key)
@@ -93,7 +138,7 @@ def describe(stems: DataFrame, keys: list[str], with_ratio: bool = True) -> Data
     key here. An element list never outgrows its own stem. Stems of a key that has
     FEW at most have no list (null): their pairs are fewer than their elements.
     """
-    base = stems.withColumn("nums", F.array_join(F.regexp_extract_all("stem_key", F.lit(r"(\d+)"), 1), ",")).withColumn(
+    base = stems.withColumn("nums", digits_of(F.col("stem_key"))).withColumn(
         "words", content_words(F.col("stem_key"))
     )
     n_words = F.size("words")
